@@ -1,0 +1 @@
+"""Intentionally empty: the data model is whole immutable snapshots, so there is no stream to process."""
