@@ -124,3 +124,14 @@ def fetch_list(matches: DataFrame, order: list[str]) -> DataFrame:
         .select("external_id", *[F.col("_first")[c].alias(f"first_{c}") for c in order])
     )
     return dense_ids(firsts, [f"first_{c}" for c in order] + ["external_id"], "fetch_id").select("external_id", "fetch_id")
+
+
+def subject_aliases(external: DataFrame) -> DataFrame:
+    """(external_id, subject): the alias list, else the subjects' abbreviations and codes, else the one subject."""
+    coded = F.flatten(F.transform("subjects", lambda s: F.array(s["abbreviation"], s["code"])))
+    chosen = (
+        F.when(F.size("subjectAliases") > 0, F.col("subjectAliases"))
+        .when(F.size("subjects") > 0, F.filter(coded, lambda x: x != ""))
+        .otherwise(F.array("subject"))
+    )
+    return external.select("external_id", F.explode(chosen).alias("subject")).filter("subject IS NOT NULL").distinct()
