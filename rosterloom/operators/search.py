@@ -152,6 +152,7 @@ def _representatives(matched: DataFrame, lead: Sequence[Column]) -> DataFrame:
         _zero("has_any_full_section").desc(),
         F.col("title").asc_nulls_first(),
         F.col("course_id").asc(),
+        F.col("term_code").asc(),
     ]
     return top_per_key(matched, ["query_id", "course_designation"], order)
 
@@ -260,12 +261,13 @@ def resolve_designations(wanted: DataFrame, overview: DataFrame, aliases: DataFr
             _zero("has_any_full_section").desc(),
             F.col("title").asc_nulls_first(),
             F.col("course_id").asc(),
+            F.col("term_code").asc(),
         ],
     ).select("course_designation", "term_code", "course_id", F.lit("canonical").alias("resolved_by"))
     rest = wanted.join(canonical, "course_designation", "left_anti")
     alias = top_per_key(
         rest.join(aliases.withColumnRenamed("alias_course_designation", "course_designation"), "course_designation"),
         ["course_designation"],
-        [F.col("is_primary").desc(), F.col("canonical_course_designation").asc(), F.col("course_id").asc()],
+        [F.col("is_primary").desc(), F.col("canonical_course_designation").asc(), F.col("course_id").asc(), F.col("term_code").asc()],
     ).select("course_designation", "term_code", "course_id", F.lit("alias").alias("resolved_by"))
     return canonical.unionByName(alias)
