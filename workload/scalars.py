@@ -32,7 +32,7 @@ _EV = """ev AS (SELECT *, isodow(ts) - 1 dow, epoch_ms(ts) ms,
   substr('MTWRFSU', isodow(ts), 1) d1, substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) d2,
   CASE event_type WHEN 'click' THEN lower(substr('MTWRFSU', isodow(ts), 1) || 'x')
     WHEN 'view' THEN substr('MTWRFSU', isodow(ts), 1) || ' ' || substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) WHEN 'error' THEN NULL WHEN 'purchase' THEN '?'
-    ELSE substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) || substr('MTWRFSU', isodow(ts), 1) || substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) END days,
+    ELSE substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) || substr('MTWRFSU', isodow(ts), 1) || substr('MTWRFSU', (isodow(ts) + 2) % 7 + 1, 1) END AS days,
   CASE event_type WHEN 'click' THEN (1 << (isodow(ts) - 1)) WHEN 'view' THEN (1 << (isodow(ts) - 1)) | (1 << ((isodow(ts) + 2) % 7))
     WHEN 'signup' THEN (1 << (isodow(ts) - 1)) | (1 << ((isodow(ts) + 2) % 7)) END mask,
   CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS INT) - 20 END open_seats,
@@ -277,7 +277,7 @@ ORACLES = {
         CASE WHEN event_type = 'click' THEN CAST(event_id % 1441 AS INT) ELSE m END minute_or_pass,
         CAST(greatest(event_id % 1440 - m, 0) AS INT) duration FROM loc""",
     "clock_text_minutes": """SELECT event_id, CASE WHEN event_id % 30 <= 23 AND event_id % 70 <= 59 AND (event_type <> 'click' OR event_id % 70 > 9)
-        THEN CAST((event_id % 30) * 60 + event_id % 70 AS INT) END minutes FROM events""",
+        THEN CAST((event_id % 30) * 60 + event_id % 70 AS INT) END AS minutes FROM events""",
     "online_regex": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' AND substr(o_orderpriority, 1, 1) IN ('1', '2', '4') THEN 1 ELSE 0 END is_online,
         CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END has_temporary_restriction FROM orders""",
     "haversine_pairs": """WITH n AS (SELECT n_nationkey, CAST(n_nationkey * 3 - 36 AS DOUBLE) lat, CAST(n_nationkey * 13 - 150 AS DOUBLE) lon FROM nation),
@@ -302,8 +302,8 @@ ORACLES = {
           lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS BIGINT) + 1) FROM s""",
     "occurrence_numbers": "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) occurrence FROM events",
     "dense_identifiers": "SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) dense_id FROM part",
-    "map_merge_sum": f"""WITH {_CODES}, w AS (SELECT user_id, CAST(d // 7 AS INT) week, code, sum(n) n FROM codes GROUP BY 1, 2, 3)
-        SELECT user_id, week, CAST(sum(n) AS BIGINT) student_count, '{{' || string_agg('"' || code || '":' || CAST(n AS VARCHAR), ',' ORDER BY code) || '}}' grades,
+    "map_merge_sum": f"""WITH {_CODES}, w AS (SELECT user_id, CAST(d // 7 AS INT) AS week, code, sum(n) n FROM codes GROUP BY 1, 2, 3)
+        SELECT user_id, "week", CAST(sum(n) AS BIGINT) student_count, '{{' || string_agg('"' || code || '":' || CAST(n AS VARCHAR), ',' ORDER BY code) || '}}' grades,
         round(sum(n * CASE code WHEN 'a' THEN 4 WHEN 'ab' THEN 3.5 ELSE 0 END) / sum(n), 9)::DOUBLE avg_gpa FROM w GROUP BY 1, 2""",
     "gpa_from_counts": f"""WITH {_CODES}, w AS (SELECT user_id, code, CAST(sum(n) AS DOUBLE) n FROM codes GROUP BY 1, 2)
         SELECT user_id, CASE WHEN coalesce(sum(n) FILTER (code IN ('a', 'ab', 'f')), 0) = 0 THEN 0
