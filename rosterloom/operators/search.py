@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.text import compact_designation, search_text, search_tokens
 from rosterloom.operators.versions import top_per_key
+from rosterloom.session import cut_lineage
 from rosterloom.skew import salted_join
 
 DEFAULT_LIMIT = 24
@@ -53,6 +54,11 @@ def postings(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> DataF
     return docs.select(*row, F.explode(everything).alias("token")).groupBy(*row, "token").agg(F.count("*").alias("tf"))
 
 
+def build_index(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """Postings written once, so that matching, lengths and frequencies do not read the text again."""
+    return cut_lineage(postings(docs, row, texts))
+
+
 def query_tokens(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, qtoken, wanted): distinct tokens with their number; queries without tokens vanish."""
     tokens = F.array_distinct(search_tokens(F.col(text)))
@@ -76,19 +82,24 @@ def expand_tokens(tokens: DataFrame, words: DataFrame, substring: bool = False)
         pieces = _bucketed(vocabulary.select("token", tails.alias("tail")), F.col("tail"))
     else:
         pieces = _bucketed(vocabulary, F.col("token"))
-    hits = salted_join(pieces, wanted, ["bucket"])
+    # Query tokens are the small side: Spark broadcasts them by size, or AQE splits a hot bucket.
+    hits = pieces.join(wanted, "bucket")
     return hits.filter(F.col("piece").startswith(F.col("qtoken"))).select("qtoken", "token").distinct()
 
 
 def token_hits(posts: DataFrame, expansions: DataFrame, row: Sequence[str]) -> DataFrame:
-    """(row, qtoken, tf): rows holding any word a query token stands for; frequent words are salted."""
-    found = salted_join(posts, expansions, ["token"], salt_by=list(row))
+    """(row, qtoken, tf): rows holding any word a query token stands for.
+
+    A frequent word is a skewed key of the postings only: AQE splits it when the other side is
+    too large to broadcast.
+    """
+    found = posts.join(expansions, "token")
     return found.groupBy(*row, "qtoken").agg(F.sum("tf").alias("tf"))
 
 
 def all_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], query: str = "query_id") -> DataFrame:
     """(query, row, score inputs) for rows matching every token of a query."""
-    joined = salted_join(hits, tokens, ["qtoken"], salt_by=list(row))
+    joined = hits.join(tokens, "qtoken")
     carried = [c for c in hits.columns if c not in (*row, "qtoken")]
     return (
         joined.groupBy(query, *row)
@@ -105,7 +116,7 @@ def bm25_hits(posts: DataFrame, hits: DataFrame, row: Sequence[str]) -> DataFram
     # One-row subqueries, inlined as constants.
     n, avg_len = corpus.select("n").scalar(), corpus.select("avg_len").scalar()
     df = hits.groupBy("qtoken").agg(F.count("*").alias("df"))
-    scored = salted_join(hits, df, ["qtoken"], salt_by=list(row)).join(lengths, list(row))
+    scored = hits.join(df, "qtoken").join(lengths, list(row))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / avg_len)
     return scored.select(*row, "qtoken", (idf * F.col("tf") * (BM25_K1 + 1) / norm).alias("score"))
@@ -180,7 +191,7 @@ def search(
 ) -> DataFrame:
     """Indexed search: every token must prefix-match, results ranked by match tier, then BM25."""
     row = [*keys, "alias_course_designation"]
-    posts = postings(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
+    posts = build_index(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
     tokens = query_tokens(queries)
     hits = token_hits(posts, expand_tokens(tokens, posts), row)
     matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
@@ -198,7 +209,7 @@ def search_without_index(
     lowered = corpus.withColumn("alias_lower", F.lower("alias_course_designation")).withColumn(
         "alias_tight", F.replace(F.lower("alias_course_designation"), F.lit(" "), F.lit(""))
     )
-    posts = postings(lowered, list(keys), ["alias_lower", "alias_tight", "title", "description"])
+    posts = build_index(lowered, list(keys), ["alias_lower", "alias_tight", "title", "description"])
     tokens = query_tokens(queries)
     hits = token_hits(posts, expand_tokens(tokens, posts, substring=True), list(keys)).select(*keys, "qtoken")
     matches = all_token_matches(tokens, hits, list(keys))
@@ -243,7 +254,7 @@ def browse(subjects: DataFrame, overview: DataFrame, limit: int | None = None) -
 def topic_search(queries: DataFrame, corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Best score per (query, course), one row per course however many aliases match."""
     row = [*keys, "alias_course_designation"]
-    posts = postings(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
+    posts = build_index(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
     tokens = query_tokens(queries)
     hits = token_hits(posts, expand_tokens(tokens, posts), row)
     matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)

@@ -62,7 +62,7 @@ def search_corpus(spark, sf):
 def search_prefix_and(spark, sf):
     """Rows matching every token of a query by prefix, with their BM25 score."""
     row = [*KEYS, "alias_course_designation"]
-    posts = se.postings(_corpus(spark, sf), row, ["alias_course_designation", "alias_compact", "title", "description"])
+    posts = se.build_index(_corpus(spark, sf), row, ["alias_course_designation", "alias_compact", "title", "description"])
     tokens = se.query_tokens(_queries(spark, sf))
     hits = se.token_hits(posts, se.expand_tokens(tokens, posts), row)
     return se.all_token_matches(tokens, se.bm25_hits(posts, hits, row), row).select(
@@ -88,7 +88,7 @@ def search_fallback(spark, sf):
 def semi_exists_tokens(spark, sf):
     """Documents containing every token of a query anywhere inside a word."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    posts = se.postings(docs, ["doc_id"], ["text"])
+    posts = se.build_index(docs, ["doc_id"], ["text"])
     tokens = se.query_tokens(_topic_queries(spark, sf))
     hits = se.token_hits(posts, se.expand_tokens(tokens, posts, substring=True), ["doc_id"]).select("doc_id", "qtoken")
     return se.all_token_matches(tokens, hits, ["doc_id"])
@@ -111,7 +111,7 @@ def _topic_queries(spark, sf):
 def bm25_topk(spark, sf):
     """Ten best documents per topic over their whole text."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    posts = se.postings(docs, ["doc_id"], ["text"])
+    posts = se.build_index(docs, ["doc_id"], ["text"])
     tokens = se.query_tokens(_topic_queries(spark, sf))
     hits = se.token_hits(posts, se.expand_tokens(tokens, posts), ["doc_id"])
     scored = se.all_token_matches(tokens, se.bm25_hits(posts, hits, ["doc_id"]), ["doc_id"])
