@@ -53,9 +53,9 @@ def _merge_section_versions(sections: DataFrame, deepest: int) -> tuple[DataFram
     fields = {
         "class_number": F.col("class_number"), "term_code": F.col("term_code"), "course_id": F.col("course_id"),
         "sectionNumber": s["sectionNumber"], "type": s["type"], "instructionMode": s["instructionMode"],
-        "sessionCode": s["sessionCode"], "published": s["published"], "openSeats": s["enrollmentStatus.openSeats"],
-        "waitlistCurrentSize": s["enrollmentStatus.waitlistCurrentSize"], "capacity": s["enrollmentStatus.capacity"],
-        "currentlyEnrolled": s["enrollmentStatus.currentlyEnrolled"],
+        "sessionCode": s["sessionCode"], "published": s["published"], "openSeats": s["enrollmentStatus"]["openSeats"],
+        "waitlistCurrentSize": s["enrollmentStatus"]["waitlistCurrentSize"], "capacity": s["enrollmentStatus"]["capacity"],
+        "currentlyEnrolled": s["enrollmentStatus"]["currentlyEnrolled"],
         "footnotes": F.when(F.size(s["footnotes"]) > 0, s["footnotes"]),
         "classMaterials": F.when(F.size(s["classMaterials"]) > 0, s["classMaterials"]),
     }
@@ -69,15 +69,16 @@ def _merge_section_versions(sections: DataFrame, deepest: int) -> tuple[DataFram
     people = catalog.instructor_records(keyed.withColumn("section_class_number", F.lit(0)).withColumn("package_id", F.struct("package_id", "version")))
     people = people.select("package_id.package_id", "package_id.version", "section_index", "instructor_index", "netid", "email", "first_name", "last_name")
 
+    flat, meetings, people = cut_lineage(flat), cut_lineage(meetings), cut_lineage(people)
     scope = ["package_id"]
     best = flat.filter("version = 1").drop("version")
     best_meetings = meetings.filter("version = 1").drop("version")
     best_people = people.filter("version = 1")
     for version in range(2, deepest + 1):
         older = flat.filter(F.col("version") == version).drop("version")
-        matches = merging.cascade_match(best, older, scope, "section_index", _STAGES)
+        matches = cut_lineage(merging.cascade_match(best, older, scope, "section_index", _STAGES))
         merged = merging.enrich_matched(best, older, matches, scope, "section_index", list(fields))
-        best = merged.drop("source").join(best.select("package_id", "section_index", *_STAGES), ["package_id", "section_index"])
+        best = cut_lineage(merged.drop("source").join(best.select("package_id", "section_index", *_STAGES), ["package_id", "section_index"]))
         links = matches.select("package_id", F.col("fallback_position").alias("section_index"), "preferred_position")
         moved = (
             meetings.filter(F.col("version") == version)
@@ -90,17 +91,21 @@ def _merge_section_versions(sections: DataFrame, deepest: int) -> tuple[DataFram
         )
         # A section's meetings are one short list; number them again behind the preferred ones.
         order = Window.partitionBy("package_id", "section_index").orderBy("source", "at")
-        best_meetings = lists.withColumn("at", (F.row_number().over(order) - 1).cast("bigint")).drop("source")
+        best_meetings = cut_lineage(lists.withColumn("at", (F.row_number().over(order) - 1).cast("bigint")).drop("source"))
         donors = people.filter(F.col("version") == version).join(links, ["package_id", "section_index"]).drop("section_index")
         best_people = best_people.unionByName(donors.withColumnRenamed("preferred_position", "section_index"))
     return best, best_meetings, best_people
 
 
 def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at: str) -> dict[str, DataFrame]:
-    """Every base table and read model as lazy DataFrames."""
-    records = _version_rank(catalog.package_records(package_snapshot))
+    """Every base table and read model.
+
+    Base tables are materialised as they are made, as the tables they are: later ones read
+    them several times and must not go back to the nested snapshot.
+    """
+    records = cut_lineage(_version_rank(catalog.package_records(package_snapshot)))
     deepest = records.agg(F.max("version").alias("v")).first()["v"] or 1
-    packages = _merge_packages(records)
+    packages = cut_lineage(_merge_packages(records))
     sections = _share_class_numbers(
         catalog.section_records(records.select("package_id", "term_code", "course_id", "package", "version").withColumn(
             "package_id", F.struct("package_id", "version")
@@ -115,24 +120,27 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
         F.coalesce(key_part(F.col("type")), F.lit("unknown-type")),
         F.coalesce(key_part(F.col("sessionCode")), F.lit("unknown-session")),
     )
-    numbered = versions.synthetic_numbers(
-        best.drop(*_STAGES).withColumn("seed", seed), "package_id", "section_index", "seed", "class_number", "section_class_number"
+    numbered = cut_lineage(
+        versions.synthetic_numbers(
+            best.drop(*_STAGES).withColumn("seed", seed), "package_id", "section_index", "seed", "class_number", "section_class_number"
+        )
     )
     section_table = _section_table(numbered)
     numbers = numbered.select("package_id", "section_index", "section_class_number")
-    meeting_table = _meeting_table(best_meetings.join(numbers, ["package_id", "section_index"]))
+    meeting_table = cut_lineage(_meeting_table(best_meetings.join(numbers, ["package_id", "section_index"])))
 
     # Courses: catalog rows, then those only the packages know.
     all_courses = merging.append_missing(courses, _as_catalog(catalog.synthesized_courses(records), courses), ["termCode", "courseId"])
-    positioned = all_courses.withColumn("_position", F.monotonically_increasing_id())
+    positioned = cut_lineage(all_courses.withColumn("_position", F.monotonically_increasing_id()))
     course_table = versions.first_wins(positioned, ["termCode", "courseId"], [F.col("_position")])
-    course_rows = catalog.course_rows(course_table)
-    listings = _cross_listings(positioned, course_rows)
+    course_rows = cut_lineage(catalog.course_rows(course_table))
+    listings = cut_lineage(_cross_listings(positioned, course_rows))
 
     people = best_people.join(numbers, ["package_id", "section_index"])
     ordered = people.withColumn("record_id", F.monotonically_increasing_id())
     ordered = cut_lineage(ordered)  # ids must not change between the joins below
     aliases, instructors = identity.collapse_identities(ordered, "record_id")
+    instructors = cut_lineage(instructors)
     section_instructors = (
         ordered.select("record_id", "package_id", "section_class_number")
         .join(aliases, "record_id")
@@ -160,15 +168,15 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
         "section_instructors": section_instructors,
         **requirements.rule_tables(course_rows),
     }
-    described = _described(records, course_table, numbered)
+    described = cut_lineage(_described(records, course_table, numbered))
     tables["course_search"] = search.build_corpus(listings, course_rows, rm.COURSE_KEY)
     return {**tables, **derive_read_models(tables, described)}
 
 
 def derive_read_models(tables: dict[str, DataFrame], described: DataFrame) -> dict[str, DataFrame]:
-    sections_v = rm.section_overview(tables["sections"], tables["packages"], tables["courses"])
+    sections_v = cut_lineage(rm.section_overview(tables["sections"], tables["packages"], tables["courses"]))
     canonical = rm.canonical_sections(sections_v, tables["courses"])
-    meetings = rm.canonical_meetings(canonical, tables["sections"], tables["meetings"], tables["buildings"])
+    meetings = cut_lineage(rm.canonical_meetings(canonical, tables["sections"], tables["meetings"], tables["buildings"]))
     schedulable = rm.schedulable_packages(tables["packages"], tables["courses"], meetings, described)
     return {
         "section_overview_v": sections_v,
@@ -205,9 +213,9 @@ def _merge_packages(records: DataFrame) -> DataFrame:
         "package_id", "version", "term_code", "subject_code", "course_id",
         p["lastUpdated"].alias("package_last_updated"),
         p["enrollmentClassNumber"].alias("enrollment_class_number"),
-        p["packageEnrollmentStatus.status"].alias("package_status"),
-        p["packageEnrollmentStatus.availableSeats"].alias("package_available_seats"),
-        p["packageEnrollmentStatus.waitlistTotal"].alias("package_waitlist_total"),
+        p["packageEnrollmentStatus"]["status"].alias("package_status"),
+        p["packageEnrollmentStatus"]["availableSeats"].alias("package_available_seats"),
+        p["packageEnrollmentStatus"]["waitlistTotal"].alias("package_waitlist_total"),
         status["openSeats"].alias("open_seats"),
         status["waitlistCurrentSize"].alias("waitlist_current_size"),
         status["capacity"].alias("capacity"),
@@ -332,8 +340,8 @@ def _described(records: DataFrame, courses: DataFrame, sections: DataFrame) -> D
     note = rollups.distinct_notes(
         F.array("enrollmentPrerequisites"),
         F.col("_footnotes"),
-        F.transform(p["enrollmentRequirementGroups.catalogRequirementGroups"], lambda g: g["description"]),
-        F.transform(p["enrollmentRequirementGroups.classAssociationRequirementGroups"], lambda g: g["description"]),
+        F.transform(p["enrollmentRequirementGroups"]["catalogRequirementGroups"], lambda g: g["description"]),
+        F.transform(p["enrollmentRequirementGroups"]["classAssociationRequirementGroups"], lambda g: g["description"]),
         F.flatten(F.transform("_notes", section_notes)),
         F.array(details["instructorDescription"], details["typicalTopicsAndOrSchedule"], details["format"]),
     )

@@ -189,9 +189,9 @@ def synthesized_courses(records: DataFrame) -> DataFrame:
         F.coalesce(c["currentlyTaught"], F.lit(True)).alias("currentlyTaught"),
         c["lastTaught"].alias("lastTaught"),
         F.struct(
-            F.coalesce(c["subjectCode"], c["subject.subjectCode"], "subject_code").alias("subjectCode"),
-            c["subject.shortDescription"].alias("shortDescription"),
-            c["subject.description"].alias("description"),
+            F.coalesce(c["subjectCode"], c["subject"]["subjectCode"], "subject_code").alias("subjectCode"),
+            c["subject"]["shortDescription"].alias("shortDescription"),
+            c["subject"]["description"].alias("description"),
         ).alias("subject"),
         F.struct(F.coalesce(F.col("package.lastUpdated"), F.lit(-1)).alias("u"), F.col("package_id").alias("p")).alias("_rank"),
     )
