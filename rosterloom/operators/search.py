@@ -76,10 +76,13 @@ def expand_tokens(tokens: DataFrame, words: DataFrame, substring: bool = False)
     """(qtoken, token): vocabulary words starting with, or containing, a query token."""
     wanted = tokens.select("qtoken").distinct().withColumn("bucket", F.substring("qtoken", 1, 2))
     vocabulary = words.select("token").distinct()
+    # No query token is longer than this, so longer pieces of a word can be cut without loss.
+    longest = tokens.agg(F.coalesce(F.max(F.char_length("qtoken")), F.lit(1)).alias("n")).scalar()
     if substring:
         # A word contains the token exactly when one of its suffixes starts with it.
-        tails = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("token")), lambda i: F.substring("token", i, F.char_length("token"))))
-        pieces = _bucketed(vocabulary.select("token", tails.alias("tail")), F.col("tail"))
+        starts = F.explode(F.sequence(F.lit(1), F.char_length("token")))
+        tails = vocabulary.select("token", starts.alias("at")).select("token", F.substring("token", F.col("at"), longest).alias("tail"))
+        pieces = _bucketed(tails.distinct(), F.col("tail"))
     else:
         pieces = _bucketed(vocabulary, F.col("token"))
     # Query tokens are the small side: Spark broadcasts them by size, or AQE splits a hot bucket.

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterloom.functions import availability as av
-from rosterloom.functions.text import key_field
+from rosterloom.functions.text import defined_leaves, key_field
 from rosterloom.operators import quality, rollups
+from rosterloom.operators.matching import identity_pairs, subject_aliases
 from rosterloom.operators.merging import display_history
 from rosterloom.operators.search import resolve_designations
-from rosterloom.operators.versions import top_per_key
+from rosterloom.operators.versions import best_version, top_per_key
 from rosterloom.operators.history import history_order
 from rosterloom.plans import read_models as rm
 from workload.standin import Catalog, oracle
@@ -246,6 +247,66 @@ def rule_check_report(spark, sf):
     )
 
 
+def predicate_scan(spark, sf):
+    """Equality, lists, ranges, prefix, null and inequality tests in one scan of the orders."""
+    o = Catalog(spark, sf).t("orders")
+    prefix = F.col("o_orderpriority").startswith("1-") | F.col("o_orderpriority").startswith("3-")
+    return o.filter(
+        prefix
+        & F.col("o_orderstatus").isin("O", "F")
+        & ~F.col("o_custkey").isin(1, 2, 3)
+        & (F.col("o_totalprice") >= 1000)
+        & (F.col("o_totalprice") <= 400000)
+        & F.col("o_orderdate").isNotNull()
+        & (F.col("o_orderkey") != F.col("o_custkey"))
+    ).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+def version_priority(spark, sf):
+    """Best line per part: newest, then most values set, then the greatest canonical text."""
+    li = Catalog(spark, sf).t("lineitem").selectExpr(
+        "l_partkey", "l_orderkey", "l_linenumber", "year(l_shipdate) as updated",
+        "case when l_returnflag = 'A' then l_quantity end as a", "case when l_linestatus = 'O' then l_tax end as b",
+        "case when l_discount > 0.05 then l_discount end as c",
+    )
+    ranked = li.withColumn("filled", defined_leaves(F.col("a"), F.col("b"), F.col("c"))).withColumn(
+        "text", F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), "l_linenumber")
+    )
+    return best_version(ranked, ["l_partkey"], ["updated", "filled", "text"]).select("l_partkey", "updated", "filled", "text")
+
+
+def local_identity_pairs(spark, sf):
+    """(subject, number) pairs of every course, its own and those of its cross listings."""
+    c = Catalog(spark, sf)
+    return identity_pairs(c.courses, c.cross_listings, ["term_code", "course_id"])
+
+
+def external_aliases(spark, sf):
+    """Subject aliases of external courses: the list, else the coded subjects, else the one subject."""
+    p = Catalog(spark, sf).t("part").selectExpr(
+        "p_partkey as external_id", "case when p_size > 30 then split(p_name, ' ') end as subjectAliases",
+        "case when p_size > 10 then array(named_struct('code', p_type, 'abbreviation', case when p_size > 20 then p_brand end)) end as subjects",
+        "p_brand as subject",
+    )
+    return subject_aliases(p)
+
+
+def rule_views(spark, sf):
+    """Rules and their summaries joined to the course names."""
+    c = Catalog(spark, sf)
+    rules = c.courses.selectExpr(
+        "concat_ws(':', 'rule', term_code, course_id) as rule_id", "term_code", "course_id",
+        "case when subject_code = 'BUILDING' then 'parsed' else 'partial' end as parse_status", "0.5D as parse_confidence",
+        "description as raw_text", "title as unparsed_text",
+    ).filter("unparsed_text <> 'Studies 7'")
+    summaries = rules.selectExpr(
+        "rule_id", "term_code", "course_id", "'opaque' as summary_status", "'[]' as course_groups_json", "'[]' as escape_clauses_json"
+    )
+    one = rm.rule_overview(rules, c.courses).select("rule_id", "course_designation", "parse_status", F.lit("rule").alias("view"))
+    two = rm.summary_overview(summaries, rules, c.courses).select("rule_id", "course_designation", "parse_status", F.lit("summary").alias("view"))
+    return one.unionByName(two)
+
+
 def snapshot_completeness(spark, sf):
     """Lines collected per order against a reported number."""
     c = Catalog(spark, sf)
@@ -261,7 +322,8 @@ QUERIES = {
         canonical_sections_view, canonical_meetings_model, meeting_day_rollup, package_text_rollup, schedulable_packages_model,
         online_courses_view, entity_history, latest_refresh_weighted, pair_history, current_period_star, history_display,
         history_ranked, topn_filtered_group, cond_sum_by_type, distinct_projection, anti_no_rule, orphan_drop, display_class,
-        resolve_with_fallback, composite_key_split, source_title_lookup, quality_report, rule_check_report, snapshot_completeness,
+        resolve_with_fallback, composite_key_split, source_title_lookup, quality_report, rule_check_report, snapshot_completeness, predicate_scan, version_priority, local_identity_pairs, external_aliases,
+        rule_views,
     ]
 }
 
@@ -463,6 +525,23 @@ ORACLES = {
         UNION ALL SELECT 'type_known', count(*) FILTER (section_type NOT IN ('LEC', 'DIS')) FROM sections
         UNION ALL SELECT 'enrolled_within_capacity', count(*) FILTER (currently_enrolled > capacity) FROM sections"""
     ),
+    "predicate_scan": """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '3-%')
+        AND o_orderstatus IN ('O', 'F') AND o_custkey NOT IN (1, 2, 3) AND o_totalprice BETWEEN 1000 AND 400000 AND o_orderdate IS NOT NULL AND o_orderkey <> o_custkey""",
+    "version_priority": """SELECT l_partkey, updated, filled, t AS "text" FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY updated DESC, filled DESC, t DESC) rk
+        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS INT) updated, CAST((l_returnflag = 'A') AS INT) + CAST((l_linestatus = 'O') AS INT) + CAST((l_discount > 0.05) AS INT) filled,
+          lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '/' || CAST(l_linenumber AS VARCHAR) t FROM lineitem)) WHERE rk = 1""",
+    "local_identity_pairs": oracle(
+        """SELECT term_code, course_id, subject_code subject, catalog_number number FROM courses
+        UNION SELECT term_code, course_id, subject_code, catalog_number FROM course_cross_listings"""
+    ),
+    "external_aliases": """SELECT DISTINCT p_partkey external_id, s subject FROM (
+        SELECT p_partkey, unnest(string_split(p_name, ' ')) s FROM part WHERE p_size > 30
+        UNION ALL SELECT p_partkey, unnest(CASE WHEN p_size > 20 THEN [p_brand, p_type] ELSE [p_type] END) FROM part WHERE p_size BETWEEN 11 AND 30
+        UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size <= 10)""",
+    "rule_views": oracle(
+        """SELECT 'rule:' || term_code || ':' || course_id rule_id, course_designation, CASE WHEN subject_code = 'BUILDING' THEN 'parsed' ELSE 'partial' END parse_status, v AS "view"
+        FROM courses, (SELECT unnest(['rule', 'summary']) v) WHERE title <> 'Studies 7'"""
+    ),
     "snapshot_completeness": oracle(
         """SELECT o_orderkey l_orderkey, coalesce(n, 0) collected, CAST(o_orderkey % 7 + 1 AS BIGINT) reported,
         CASE WHEN coalesce(n, 0) = o_orderkey % 7 + 1 THEN 1 ELSE 0 END complete
