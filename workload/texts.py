@@ -8,6 +8,7 @@ from rosterloom.functions.text import search_tokens
 from rosterloom.operators import requirements as rq
 from rosterloom.operators import search as se
 from rosterloom.operators.versions import top_per_key
+from rosterloom.session import cut_lineage
 from workload.standin import table
 
 KEYS = ["term_code", "course_id"]
@@ -178,7 +179,7 @@ def requirement_trees(spark, sf):
 
 def requirement_node_rows(spark, sf):
     """Nodes per type over all texts."""
-    r = rq.requirement_rules(_texts(spark, sf), "rule_id", "text")
+    r = cut_lineage(rq.requirement_rules(_texts(spark, sf), "rule_id", "text"))  # read several times below
     return rq.requirement_nodes(r, "rule_id").groupBy("node_type").agg(F.count("*").alias("nodes"), F.count_distinct("node_id").alias("ids"))
 
 

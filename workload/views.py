@@ -13,6 +13,7 @@ from rosterloom.operators.search import resolve_designations
 from rosterloom.operators.versions import best_version, top_per_key
 from rosterloom.operators.history import history_order
 from rosterloom.plans import read_models as rm
+from rosterloom.session import cut_lineage
 from workload.standin import Catalog, oracle
 
 
@@ -76,7 +77,8 @@ def schedulable_packages_model(spark, sf):
         F.concat(F.col("subject_code"), F.lit(" bundle")).alias("section_bundle_label"),
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("Restriction will be removed on May 3 "), "o_orderpriority")).alias("restriction_note"),
     ).filter("restriction_note is not null")
-    return rm.schedulable_packages(c.packages, c.courses, _canonical_meetings(c), described)
+    # The meetings feed the rollup and the summaries; they are a written table in the build as well.
+    return rm.schedulable_packages(c.packages, c.courses, cut_lineage(_canonical_meetings(c)), described)
 
 
 def online_courses_view(spark, sf):
