@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,7 @@ import regex
 from tokenizers import Tokenizer
 
 BYTE_BPE_50K = "byte_bpe_50k.json"
-CACHED_PIECES = 500_000  # per cache and Python worker, about 120 MB
+CACHED_PIECES = 300_000  # per generation of a cache; two caches of two generations take about 200 MB per Python worker
 END_ID = 0
 ID_BYTES = 4
 
@@ -21,6 +22,10 @@ ID_BYTES = 4
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _PIECE = regex.compile(public_tokenizers.PATTERN)
+# The same split for chunks of Latin-1 letters, ASCII signs and common white space, where Python's own
+# classes agree with the pattern's.
+_LATIN = re.compile(r"[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_LATIN_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,24 +60,32 @@ class TextEncoder:
             and not split.get("add_prefix_space")
         )
         self.letters = _byte_letters()
+        # Two generations: a full cache becomes the old one, whose entries move back when they are met.
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = [token.id for token in self.tokenizer.model.tokenize(letters)]
-            known = np.array(ids, dtype="<u4").tobytes()
+            known = self.old_pieces.get(piece)
+            if known is None:
+                letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+                ids = [token.id for token in self.tokenizer.model.tokenize(letters)]
+                known = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
+                self.pieces, self.old_pieces = {}, self.pieces
             self.pieces[piece] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
-        found = b"".join(map(self._piece, _PIECE.findall(chunk)))
+        found = self.old_chunks.get(chunk)
+        if found is None:
+            split = _LATIN_PIECE if _LATIN.fullmatch(chunk) else _PIECE
+            found = b"".join(map(self._piece, split.findall(chunk)))
         if len(self.chunks) >= CACHED_PIECES:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         self.chunks[chunk] = found
         return found
 
@@ -82,8 +95,8 @@ class TextEncoder:
             return b""
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, make = self.chunks.get, self._chunk
-        return b"".join([known(c) or make(c) for c in _CHUNK.findall(text)])
+        make = self._chunk
+        return b"".join([self.chunks.get(c) or make(c) for c in _CHUNK.findall(text)])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import chat_format, decontaminate, packing, secret_scan, token_codes
+from rosterloom.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, secret_scan, token_codes
 from rosterloom.session import checkpoint_folder
 
 # Rows per Arrow batch: texts differ in length by a factor of a thousand, so batches are kept short.
@@ -46,6 +46,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts are made of control strings."""
     control = spark.range(2).select(
@@ -62,6 +66,13 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_codes.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -69,6 +80,6 @@ def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op5_chat_format, op6_harmonic_packing, op9_token_codes)
+    f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op4_ngram_jaccard_join, op5_chat_format, op6_harmonic_packing, op8_quality_rules, op9_token_codes)
 }
 ORACLES: dict[str, str] = {}
