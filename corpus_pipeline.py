@@ -5,20 +5,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, packing, secret_scan
+from rosterloom.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
 from rosterloom.llm.queries import table
 from rosterloom.session import checkpoint_folder
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity stays below the limit; the model is fitted on the labelled ones."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.9 and more connect."""
+    return jaccard_join.keep_one(docs)
+
+
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked and ``n_chars`` counted again."""
-    return secret_scan.redact(docs)
+    """All documents, secrets in their texts masked and ``n_chars`` counted again where it was there."""
+    redacted = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +41,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", without_copies),
     ("decontaminate", without_leaks),
     ("secret_scan", without_secrets),
     ("harmonic_packing", packed),
 ]
-# No stage but the third can be expressed in SQL.
+# The model, the entropy scan and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 

@@ -7,8 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, secret_scan, token_codes
-from rosterloom.session import checkpoint_folder
+from rosterloom.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_codes,
+    token_rollup,
+    toxicity,
+)
+from rosterloom.session import checkpoint_folder, cut_lineage
 
 # Rows per Arrow batch: texts differ in length by a factor of a thousand, so batches are kept short.
 ARROW_ROWS = "256"
@@ -23,6 +34,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.col("toxicity.expected").alias("expected_severity"),
+        F.col("toxicity.p_toxic").alias("p_toxic"),
+        F.col("toxicity.grade").alias("severity"),
+        (F.col("toxicity.expected") >= toxicity.REJECT_AT).alias("toxic"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), into="found")
     base = F.filter("found", lambda s: s["kind"] != "entropy")
@@ -66,6 +89,11 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -79,7 +107,42 @@ def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_documents(spark, path)
 
 
-QUERIES = {
-    f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op4_ngram_jaccard_join, op5_chat_format, op6_harmonic_packing, op8_quality_rules, op9_token_codes)
-}
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load, a revision, the removal of exact copies, and the revision once more.
+
+    Two tokenizer versions are kept: ``byte_bpe_50k@1`` loads texts as they are and revises them to white
+    space folded; ``byte_bpe_50k@2`` starts with the revised counts.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text").cast("string")
+    folded = F.trim(F.regexp_replace(text, r"[ \t-\r]+", " "))
+    counts = cut_lineage(token_rollup.count_tokens(docs, {"raw": text, "folded": folded}))
+    # One row per text at most takes part in the join, whatever the number of its copies.
+    firsts = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = counts.join(firsts, "digest").filter("doc_id > first")
+    raw, new = F.col("raw"), F.col("folded")
+    v1, v2 = "byte_bpe_50k@1", "byte_bpe_50k@2"
+    revision = token_rollup.changes(counts, "revise", v1, new, raw).unionByName(token_rollup.changes(counts, "insert", v2, new))
+    removal = token_rollup.changes(copies, "delete", v1, new).unionByName(token_rollup.changes(copies, "delete", v2, new))
+    rollup = token_rollup.Rollup(spark, shared_path(spark, "rollup"))
+    rollup.commit("1-load", token_rollup.changes(counts, "insert", v1, raw))
+    rollup.commit("2-revise", revision)
+    rollup.commit("3-remove-copies", removal)
+    rollup.commit("2-revise", revision)
+    return rollup.totals()
+
+
+_ALL = (
+    op1_toxicity,
+    op2_secret_scan,
+    op3_decontaminate,
+    op4_ngram_jaccard_join,
+    op5_chat_format,
+    op6_harmonic_packing,
+    op7_html_extract,
+    op8_quality_rules,
+    op9_token_codes,
+    op10_token_rollup,
+)
+QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
