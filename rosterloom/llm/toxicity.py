@@ -1,14 +1,15 @@
 """Toxicity: cumulative-link ordinal regression of severity grades on sparse word features.
 
 P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector shared by all ordered thresholds,
-x the presence of words.  The output is the expected grade, the sum of P(grade > k).
+x the presence of words and of word beginnings (``PREFIXES`` letters), which catch inflected and joined
+words.  The output is the expected grade, the sum of P(grade > k).
 
 The model is fitted on at most ``MAX_PER_LABEL`` labelled rows per label, those with the smallest
 hashes of their ids.  Rows of equal shingle minimum (near copies) share one weight of 1, so that copied
-texts do not make their words look typical.  Words whose presence differs between toxic and other
-rows by ``MIN_Z`` standard errors become features, ``MAX_FEATURES`` at most.  The labels say toxic or
-not; a toxic row is grade 2 if its share of toxic words is above the median of toxic rows that have
-any, else 1.  Scoring uses built-in functions only, over whole texts.
+texts do not make their words look typical.  Words and beginnings whose presence differs between
+toxic and other rows by ``MIN_Z`` standard errors become features, ``MAX_FEATURES`` at most.  The labels
+say toxic or not; a toxic row is grade 2 if it has more distinct toxic features than the median of
+toxic rows that have any, else 1.  Scoring uses built-in functions only, over whole texts.
 
 Defined cases: a null or empty text has no words, its grade follows from the thresholds alone; labels
 that are null or have no document are ignored; a document labelled twice is toxic if any label says so;
@@ -29,7 +30,8 @@ MAX_PER_LABEL = 6000
 MAX_FEATURES = 500
 MIN_ROWS = 4.0  # weighted rows that must hold a word
 MIN_Z = 5.0
-RIDGE = 0.5
+PREFIXES = (4, 5, 6, 7)
+RIDGE = 0.05
 REJECT_AT = 0.5
 
 
@@ -40,19 +42,24 @@ class OrdinalModel:
     thresholds: tuple[float, ...]  # ascending; empty for a model that says 0
 
 
-def distinct_words(text: Column) -> Column:
-    """Distinct words of a text: runs of letters, marks and digits, lower-cased."""
+def words_of(text: Column) -> Column:
+    """Words of a text: runs of letters, marks and digits, lower-cased."""
     lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    return F.array_remove(F.array_distinct(F.split(lowered, r"[^\p{L}\p{M}\p{N}_]+")), "")
+    return F.array_remove(F.split(lowered, r"[^\p{L}\p{M}\p{N}_]+"), "")
 
 
-def _words(text: Column) -> Column:
-    lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    return F.array_remove(F.split(lowered, r"[^\p{L}\p{M}\p{N}_]+"), "")
+def presence(words: Column) -> Column:
+    """Distinct words, and distinct beginnings of longer words, marked by ``^``."""
+    distinct = F.array_distinct(words)
+    starts = [
+        F.transform(F.filter(distinct, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n)))
+        for n in PREFIXES
+    ]
+    return F.array_distinct(F.concat(distinct, *starts))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> DataFrame:
-    """(id, toxic, words, weight): the bounded sample, near copies sharing a weight of 1."""
+    """(id, toxic, words, weight): the bounded sample with the features present, near copies sharing a weight of 1."""
     flags = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
@@ -67,11 +74,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
     for flag in (0, 1):
         part = rows.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         kept = part if kept is None else kept.unionByName(part)
-    words = kept.select("_id", "toxic", _words(F.col("_text")).alias("words"))
+    words = kept.select("_id", "toxic", words_of(F.col("_text")).alias("words"))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 3)))
     marked = words.withColumn("_copies", F.array_min(windows))
     copies = marked.groupBy("_copies", "toxic").agg((1.0 / F.count("*")).alias("weight"))
-    return marked.join(copies, ["_copies", "toxic"]).select(F.col("_id").alias("id"), "toxic", "words", "weight")
+    return marked.join(copies, ["_copies", "toxic"]).select(F.col("_id").alias("id"), "toxic", presence(F.col("words")).alias("words"), "weight")
 
 
 def select_features(sample: DataFrame) -> list[tuple[str, float]]:
@@ -80,7 +87,7 @@ def select_features(sample: DataFrame) -> list[tuple[str, float]]:
     n0, n1 = totals.get(0, 0.0), totals.get(1, 0.0)
     if not n0 or not n1:
         return []
-    counts = sample.select("toxic", "weight", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
+    counts = sample.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("weight")).otherwise(0.0)).alias("c0"),
         F.sum(F.when(F.col("toxic") == 1, F.col("weight")).otherwise(0.0)).alias("c1"),
     )
@@ -168,22 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> Ordin
     if not features:
         return OrdinalModel((), (), ())
     vocabulary = [w for w, _ in features]
-    toxic_words = F.array(*[F.lit(w) for w, z in features if z > 0] or [F.lit("")])
     listed = F.array(*map(F.lit, vocabulary))
-    rows = sample.select(
-        "toxic",
-        "weight",
-        F.array_intersect("words", listed).alias("present"),
-        (F.size(F.filter("words", lambda w: F.array_contains(toxic_words, w))) / F.greatest(F.size("words"), F.lit(1))).alias("share"),
-    ).toPandas()
+    rows = sample.select("toxic", "weight", F.array_intersect("words", listed).alias("present")).toPandas()
     place = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, present in enumerate(rows["present"]):
         x[i, [place[w] for w in present]] = 1.0
-    toxic, share = rows["toxic"].to_numpy() > 0, rows["share"].to_numpy()
-    with_any = share[toxic & (share > 0)]
+    toxic, markers = rows["toxic"].to_numpy() > 0, x[:, [z > 0 for _, z in features]].sum(axis=1)
+    with_any = markers[toxic & (markers > 0)]
     severe = np.median(with_any) if len(with_any) else np.inf
-    grade = np.where(toxic, np.where(share > severe, 2, 1), 0)
+    grade = np.where(toxic, np.where(markers > severe, 2, 1), 0)
     grade = np.unique(grade, return_inverse=True)[1]  # the likelihood needs every grade to occur
     weights, thresholds = fit_cumulative_link(x, grade, rows["weight"].to_numpy(dtype=float))
     return OrdinalModel(tuple(vocabulary), tuple(map(float, weights)), tuple(map(float, thresholds)))
@@ -195,7 +196,7 @@ def _exceeds(model: OrdinalModel, text: Column) -> Column:
         return F.array(F.lit(0.0))
     listed = F.array(*map(F.lit, model.words))
     weight = F.map_from_arrays(listed, F.array(*map(F.lit, model.weights)))
-    total = F.aggregate(F.array_intersect(distinct_words(text), listed), F.lit(0.0), lambda a, w: a + F.element_at(weight, w))
+    total = F.aggregate(F.array_intersect(presence(words_of(text)), listed), F.lit(0.0), lambda a, w: a + F.element_at(weight, w))
     score = F.transform(F.array(total), lambda s: F.array(*[1 / (1 + F.exp(F.lit(t) - s)) for t in model.thresholds]))
     return F.get(score, F.lit(0))
 
