@@ -12,6 +12,7 @@ from rosterloom.llm import (
     decontaminate,
     html_extract,
     jaccard_join,
+    oracles,
     packing,
     quality_rules,
     secret_scan,
@@ -145,4 +146,8 @@ _ALL = (
     op10_token_rollup,
 )
 QUERIES = {query.__name__: query for query in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_decontaminate": oracles.DECONTAMINATE,
+    "op4_ngram_jaccard_join": oracles.JACCARD_JOIN,
+    "op5_chat_format": oracles.CHAT_FORMAT,
+}

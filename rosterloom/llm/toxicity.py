@@ -9,7 +9,7 @@ hashes of their ids.  Rows of equal shingle minimum (near copies) share one weig
 texts do not make their words look typical.  Words and beginnings whose presence differs between
 toxic and other rows by ``MIN_Z`` standard errors become features, ``MAX_FEATURES`` at most.  The labels
 say toxic or not; a toxic row is grade 2 if it has more distinct toxic features than the median of
-toxic rows that have any, else 1.  Scoring uses built-in functions only, over whole texts.
+toxic rows that have any, else 1.  Whole texts are scored.
 
 Defined cases: a null or empty text has no words, its grade follows from the thresholds alone; labels
 that are null or have no document are ignored; a document labelled twice is toxic if any label says so;
@@ -20,9 +20,11 @@ of the name it writes.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ PREFIXES = (4, 5, 6, 7)
 RIDGE = 0.05
 REJECT_AT = 0.5
 
+_WORD = re.compile(r"\w+")
+
 
 @dataclass(frozen=True)
 class OrdinalModel:
@@ -42,20 +46,18 @@ class OrdinalModel:
     thresholds: tuple[float, ...]  # ascending; empty for a model that says 0
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text: runs of letters, marks and digits, lower-cased."""
-    lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    return F.array_remove(F.split(lowered, r"[^\p{L}\p{M}\p{N}_]+"), "")
+def features_of(text: str | None) -> set[str]:
+    """Distinct words (runs of letters, digits and underscores, lower-cased), and beginnings of longer words, marked by ``^``."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES))
+
 
+def presence(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(features_of(t if isinstance(t, str) else None)))
 
-def presence(words: Column) -> Column:
-    """Distinct words, and distinct beginnings of longer words, marked by ``^``."""
-    distinct = F.array_distinct(words)
-    starts = [
-        F.transform(F.filter(distinct, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n)))
-        for n in PREFIXES
-    ]
-    return F.array_distinct(F.concat(distinct, *starts))
+    return listed(text)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> DataFrame:
@@ -74,11 +76,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
     for flag in (0, 1):
         part = rows.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         kept = part if kept is None else kept.unionByName(part)
-    words = kept.select("_id", "toxic", words_of(F.col("_text")).alias("words"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 3)))
+    words = kept.select("_id", "toxic", "_text", F.split(F.coalesce("_text", F.lit("")), r"\s+").alias("_words"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, 3)))
     marked = words.withColumn("_copies", F.array_min(windows))
     copies = marked.groupBy("_copies", "toxic").agg((1.0 / F.count("*")).alias("weight"))
-    return marked.join(copies, ["_copies", "toxic"]).select(F.col("_id").alias("id"), "toxic", presence(F.col("words")).alias("words"), "weight")
+    return marked.join(copies, ["_copies", "toxic"]).select(F.col("_id").alias("id"), "toxic", presence(F.col("_text")).alias("words"), "weight")
 
 
 def select_features(sample: DataFrame) -> list[tuple[str, float]]:
@@ -194,11 +196,18 @@ def _exceeds(model: OrdinalModel, text: Column) -> Column:
     """P(grade > k) for every threshold, as an array."""
     if not model.thresholds:
         return F.array(F.lit(0.0))
-    listed = F.array(*map(F.lit, model.words))
-    weight = F.map_from_arrays(listed, F.array(*map(F.lit, model.weights)))
-    total = F.aggregate(F.array_intersect(presence(words_of(text)), listed), F.lit(0.0), lambda a, w: a + F.element_at(weight, w))
-    score = F.transform(F.array(total), lambda s: F.array(*[1 / (1 + F.exp(F.lit(t) - s)) for t in model.thresholds]))
-    return F.get(score, F.lit(0))
+    weight = dict(zip(model.words, model.weights))
+
+    @F.pandas_udf("double")
+    def total(texts: pd.Series) -> pd.Series:
+        known = weight.keys()
+        # Summed in the model's order, so that equal texts get equal scores everywhere.
+        place = {w: i for i, w in enumerate(weight)}
+        found = (sorted(features_of(t if isinstance(t, str) else None) & known, key=place.get) for t in texts)
+        return pd.Series([sum((weight[w] for w in f), 0.0) for f in found], dtype=float)
+
+    exceeds = lambda s: F.array(*[1 / (1 + F.exp(F.lit(t) - s)) for t in model.thresholds])
+    return F.get(F.transform(F.array(total(text.cast("string"))), exceeds), F.lit(0))
 
 
 def score(docs: DataFrame, model: OrdinalModel, into: str = "toxicity") -> DataFrame:
