@@ -14,8 +14,10 @@ stay in the index, but it does not probe with them.
 
 Equal sets are one class with one representative.  Keys that several classes share become groups; no
 group is expanded into all pairs.  In a few rounds each group's hub is verified against its
-members, and components are contracted; only pairs of different components that remain in a group
-are then enumerated, each at its first common key.  Every pair is verified on the shingles themselves
+members, and components are contracted.  Sets that still share keys across components are indexed
+again with two units wherever possible (wider subsets with one-deletion neighbourhoods, many more keys
+for few sets), and the remaining pairs of different components are enumerated, each at its first
+common key.  Every pair is verified on the shingles themselves
 (64-bit hashes, as are all shingles here).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words
@@ -147,9 +149,18 @@ def bands_of(size: int, percent: int = PERCENT) -> list[int]:
     return [own] + ([own - 1] if own and largest_partner(_EDGES[own] - 1, percent) >= size else [])
 
 
-def keys(shingles: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
-    """Index keys of a set for a band.  The last bit marks segments of one unit, the one before the band's parity."""
-    narrow, wide, _ = allocation(band, percent)
+def wide_allocation(band: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(segments of one unit, segments of two units) where selectivity counts most: two units wherever there are two."""
+    narrow, wide, spare = allocation(band, percent)
+    units = narrow + 2 * wide - spare
+    return (1, 0) if units == 1 else (0, -(-units // 2))
+
+
+def subset_keys(shingles: np.ndarray, band: int, narrow: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of a set's subsets, keys of its one-deletion neighbourhoods in the wide segments), two low bits free.
+
+    The first ``wide`` segments are those of two units.
+    """
     segments = narrow + wide
     place = (_mix(shingles + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
     place *= narrow + WIDE * wide
@@ -162,13 +173,18 @@ def keys(shingles: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     sums = np.zeros(segments, np.uint64)
     sums[segment[starts]] = np.add.reduceat(content, starts)
     tags = _mix(np.arange(segments, dtype=np.uint64) + np.uint64(band << 32))
+    inner = segment < wide
+    less = sums[segment[inner]] - content[inner] + tags[segment[inner]]
+    return _mix(sums + tags) & np.uint64(_MASK - 3), _mix(less) & np.uint64(_MASK - 3)
+
+
+def keys(shingles: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
+    """Index keys of a set for a band.  The last bit marks segments of one unit, the one before the band's parity."""
+    narrow, wide, _ = allocation(band, percent)
+    whole, less = subset_keys(shingles, band, narrow, wide)
     parity = np.uint64(2 * (band & 1))
-    out = [(_mix(sums + tags) & np.uint64(_MASK - 3)) | parity | (np.arange(segments) >= wide).astype(np.uint64)]
-    if wide:
-        inner = segment < wide
-        less = sums[segment[inner]] - content[inner] + tags[segment[inner]]
-        out.append((_mix(less) & np.uint64(_MASK - 3)) | parity)
-    return np.unique(np.concatenate(out))
+    one_unit = (np.arange(narrow + wide) >= wide).astype(np.uint64)
+    return np.unique(np.concatenate([whole | parity | one_unit, less | parity]))
 
 
 _SIGNATURES = "doc_id long, set_a long, set_b long, n long, spare_even int, spare_odd int, keys array<long>"
@@ -251,6 +267,32 @@ def _shared_keys(signed: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _wide_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, probe) of the wide allocation; a key of a one-deletion neighbourhood probes nothing but whole subsets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, whole, less = [], [], [], []
+            for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.asarray(shingles.values).view(np.uint64)
+                parts = [subset_keys(found, band, *wide_allocation(band, percent)) for band in bands_of(len(found), percent)]
+                nodes.append(node)
+                sizes.append(len(found))
+                whole.append(np.concatenate([w for w, _ in parts]).view(np.int64))
+                less.append(np.concatenate([d for _, d in parts]).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (whole, less)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["node", "n", "whole", "less"]
+            )
+
+    made = sets.select("node", "shingles").mapInArrow(work, "node long, n long, whole array<long>, less array<long>")
+    flagged = F.concat(
+        F.transform("whole", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))),
+        F.transform(F.array_except("less", "whole"), lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
+    )
+    return made.select("node", "n", F.explode(flagged).alias("_k")).select("_k.key", "node", "n", "_k.probe")
+
+
 def _close_in_size(a: F.Column, b: F.Column, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -326,7 +368,13 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     for turn, hubs in enumerate((*HUBS_PER_ROUND, 0)):
         if active.isEmpty():
             break
-        pairs = _hub_pairs(active, hubs, turn, percent) if hubs else _remaining_pairs(active, percent)
+        if hubs:
+            pairs = _hub_pairs(active, hubs, turn, percent)
+        else:
+            # What shares keys but was not linked by hubs is indexed again, more selectively, and paired.
+            left = active.select("node").distinct()
+            rest = _wide_keys(sets.join(left, "node", "left_semi"), percent).join(labels, "node")
+            pairs = _remaining_pairs(cut_lineage(_open_groups(rest)), percent)
         if apart is not None:
             pairs = pairs.join(apart, ["u", "v"], "left_anti")
         verified = cut_lineage(_verify(pairs, sets, percent))

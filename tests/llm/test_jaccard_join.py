@@ -7,7 +7,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rosterloom.llm import jaccard_join, queries
-from rosterloom.llm.jaccard_join import allocation, band_edges, bands_of, components, keys, largest_partner, max_difference
+from rosterloom.llm.jaccard_join import (
+    allocation,
+    band_edges,
+    bands_of,
+    components,
+    keys,
+    largest_partner,
+    max_difference,
+    subset_keys,
+    wide_allocation,
+)
 from workload import check
 
 
@@ -50,6 +60,13 @@ def test_large_group_of_near_copies_and_chains(make_docs):
     assert as_dict(components(make_docs(texts))) == brute.jaccard_components(list(enumerate(texts)))
 
 
+def test_texts_that_share_a_long_passage(make_docs):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 25))]) for _ in range(120)]
+    assert as_dict(components(make_docs(texts))) == brute.jaccard_components(list(enumerate(texts)))
+
+
 def test_rounds_without_hubs_give_the_same(make_docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUBS_PER_ROUND", ())
     rng = random.Random(5)
@@ -100,6 +117,10 @@ def test_linked_sets_share_a_probed_key(size, seed, data):
         return set(found) - set(one_unit[: allocation(band)[2]])
 
     assert any(probed(x, b) & set(keys(y, b).tolist()) for b in shared)
+    wide = [(subset_keys(x, b, *wide_allocation(b)), subset_keys(y, b, *wide_allocation(b))) for b in shared]
+    assert any(
+        set(xw.tolist()) & {*yw.tolist(), *yd.tolist()} or set(xd.tolist()) & set(yw.tolist()) for (xw, xd), (yw, yd) in wide
+    )
 
 
 def test_query_against_all_pairs(spark, sf_dir, documents):
