@@ -13,7 +13,7 @@ import regex
 from tokenizers import Tokenizer
 
 BYTE_BPE_50K = "byte_bpe_50k.json"
-CACHED_PIECES = 300_000  # per generation of a cache; two caches of two generations take about 200 MB per Python worker
+CACHED_PIECES = 500_000  # per generation of a cache; two caches of two generations take up to 350 MB per Python worker
 END_ID = 0
 ID_BYTES = 4
 
@@ -22,7 +22,9 @@ ID_BYTES = 4
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _PIECE = regex.compile(public_tokenizers.PATTERN)
-# The same split for chunks of Latin-1 letters, ASCII signs and common white space, where Python's own
+# The commonest chunks: a word and signs behind it, which are one piece each.
+_WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+# The same split for other chunks of Latin-1 letters, ASCII signs and common white space, where Python's own
 # classes agree with the pattern's.
 _LATIN = re.compile(r"[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _LATIN_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -59,7 +61,9 @@ class TextEncoder:
             and split.get("use_regex", True)
             and not split.get("add_prefix_space")
         )
+        self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.space = self.letters[0x20]
         # Two generations: a full cache becomes the old one, whose entries move back when they are met.
         self.chunks: dict[str, bytes] = {}
         self.old_chunks: dict[str, bytes] = {}
@@ -71,8 +75,11 @@ class TextEncoder:
         if known is None:
             known = self.old_pieces.get(piece)
             if known is None:
-                letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-                ids = [token.id for token in self.tokenizer.model.tokenize(letters)]
+                if piece.isascii() and piece.isprintable():
+                    letters = piece.replace(" ", self.space)
+                else:
+                    letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+                ids = [token.id for token in self.model.tokenize(letters)]
                 known = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.pieces) >= CACHED_PIECES:
                 self.pieces, self.old_pieces = {}, self.pieces
@@ -82,8 +89,13 @@ class TextEncoder:
     def _chunk(self, chunk: str) -> bytes:
         found = self.old_chunks.get(chunk)
         if found is None:
-            split = _LATIN_PIECE if _LATIN.fullmatch(chunk) else _PIECE
-            found = b"".join(map(self._piece, split.findall(chunk)))
+            plain = _WORD.fullmatch(chunk)
+            if plain:
+                word, signs = plain.groups()
+                found = self._piece(word) + self._piece(signs) if signs else self._piece(word)
+            else:
+                split = _LATIN_PIECE if _LATIN.fullmatch(chunk) else _PIECE
+                found = b"".join(map(self._piece, split.findall(chunk)))
         if len(self.chunks) >= CACHED_PIECES:
             self.chunks, self.old_chunks = {}, self.chunks
         self.chunks[chunk] = found
@@ -95,8 +107,8 @@ class TextEncoder:
             return b""
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        make = self._chunk
-        return b"".join([self.chunks.get(c) or make(c) for c in _CHUNK.findall(text)])
+        known, make = self.chunks.get, self._chunk
+        return b"".join([known(c) or make(c) for c in _CHUNK.findall(text)])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
