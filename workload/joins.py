@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rosterloom.operators import identity, intervals, matching, merging, rollups
 from rosterloom.operators.history import flatten_live_offerings, live_course_grades
 from rosterloom.operators.versions import fill_group_value, first_wins
-from workload.standin import table
+from workload.standin import NUMBERED, numbered_lines, table
 
 EPOCH = "timestamp_ntz'1970-01-01'"
 
@@ -167,11 +167,11 @@ def group_unique_propagation(spark, sf):
 
 def _sides(spark, sf):
     """Lines of a part split into preferred (status O) and fallback (status F) lists."""
-    li = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber", "l_linestatus").agg(
-        F.max("l_suppkey").alias("supp"), F.max("l_returnflag").alias("rf"), F.max("l_quantity").cast("int").alias("q")
+    li = numbered_lines(table(spark, sf, "lineitem")).selectExpr(
+        "l_partkey", "l_orderkey", "l_linenumber", "l_linestatus", "l_suppkey as supp", "l_returnflag as rf", "cast(l_quantity as int) as q"
     )
     keyed = li.selectExpr(
-        "l_partkey", "l_orderkey * 10 + l_linenumber as position", "l_linestatus",
+        "l_partkey", "l_orderkey * 1000 + l_linenumber as position", "l_linestatus",
         "case when q > 40 then null else cast(supp as string) end as by_number",
         "concat_ws(':', cast(l_linenumber as string), rf, cast(q % 5 as string)) as by_identity",
         "concat_ws(':', cast(l_linenumber as string), rf) as by_type",
@@ -270,8 +270,8 @@ def identity_people(spark, sf):
 
 def _payload(spark, sf):
     """Orders and lines nested into the live offering shape, one document per customer."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_suppkey").alias("supp"), F.max("l_quantity").cast("bigint").alias("q"), F.max("l_returnflag").alias("rf")
+    li = numbered_lines(table(spark, sf, "lineitem")).selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey as supp", "cast(l_quantity as bigint) as q", "l_returnflag as rf"
     )
     section = F.struct(
         F.col("l_linenumber").alias("n"),
@@ -307,7 +307,7 @@ def nested_term_grades(spark, sf):
 
 def bundle_labels(spark, sf):
     """Bundle label per order from its lines."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("rf"), F.max("l_suppkey").alias("supp"))
+    li = numbered_lines(table(spark, sf, "lineitem")).selectExpr("l_orderkey", "l_linenumber", "l_returnflag as rf", "l_suppkey as supp")
     section = F.struct(
         F.when(F.col("rf") == "A", "LEC").when(F.col("rf") == "N", "DIS").alias("section_type"),
         F.when(F.col("supp") % 5 != 0, F.concat(F.lit("N"), (F.col("supp") % 12).cast("string"))).alias("section_number"),
@@ -351,10 +351,10 @@ def note_fragments_own(spark, sf):
 
 
 def note_sections(spark, sf):
-    """Conversation turns sorted into note sections, counted per conversation."""
-    c = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") == 3, F.lit(" all careers, except Grads ")).otherwise(F.col("text")).alias("note")
-    )
+    """Conversation turns, and one note about careers for each conversation, sorted into sections."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.col("text").alias("note"))
+    careers = turns.select("conv_id", F.lit(-1).alias("turn"), F.lit(" all careers, except Grads ").alias("note")).distinct()
+    c = turns.unionByName(careers)
     lists = rollups.organize_notes(c, ["conv_id"], "turn", "note")
     return lists.select("conv_id", "section", F.size("notes").alias("notes"), F.md5(F.array_join("notes", "#")).alias("notes_md5"))
 
@@ -393,9 +393,8 @@ QUERIES = {
 _COPY = """copies AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN l_quantity END seats, CASE WHEN l_linestatus = 'O' THEN l_returnflag END kind,
   CASE WHEN l_discount > 0.05 THEN l_tax END fee, CASE WHEN l_discount < 0.02 THEN l_returnflag || '|' || l_linestatus END tags FROM lineitem)"""
 
-_SIDE = """g AS (SELECT l_partkey, l_orderkey, l_linenumber, l_linestatus, max(l_suppkey) supp, max(l_returnflag) rf, CAST(max(l_quantity) AS INT) q
-  FROM lineitem GROUP BY 1, 2, 3, 4),
-k AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS position, l_linestatus, CASE WHEN q > 40 THEN NULL ELSE CAST(supp AS VARCHAR) END k1,
+_SIDE = f"""g AS (SELECT l_partkey, l_orderkey, l_linenumber, l_linestatus, l_suppkey supp, l_returnflag rf, CAST(l_quantity AS INT) q FROM {NUMBERED}),
+k AS (SELECT l_partkey, l_orderkey * 1000 + l_linenumber AS position, l_linestatus, CASE WHEN q > 40 THEN NULL ELSE CAST(supp AS VARCHAR) END k1,
   concat_ws(':', l_linenumber, rf, q % 5) k2, concat_ws(':', l_linenumber, rf) k3, CAST(l_linenumber AS VARCHAR) k4,
   CASE WHEN rf = 'A' THEN NULL ELSE q END seats, CASE WHEN q % 2 = 0 THEN NULL ELSE rf END kind FROM g)"""
 
@@ -435,7 +434,7 @@ pm AS (SELECT c_custkey, CASE WHEN c IS NULL THEN 'unmatched' WHEN c = 1 THEN 'm
     WHEN c > 1 THEN 'Multiple external instructors matched the normalized full name' END match_note
   FROM customer LEFT JOIN ext ON n = 'USER ' || CAST(c_custkey % 200 AS VARCHAR))"""
 
-_NEST = """g AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) supp, CAST(max(l_quantity) AS BIGINT) q, max(l_returnflag) rf FROM lineitem GROUP BY 1, 2),
+_NEST = f"""g AS (SELECT l_orderkey, l_linenumber, l_suppkey supp, CAST(l_quantity AS BIGINT) q, l_returnflag rf FROM {NUMBERED}),
 o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 ti FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM g))"""
 
 _NOTE = r"""f0 AS (SELECT source course, doc_id, unnest(string_split(replace(text, chr(10), ' | '), ' | ')) fragment,
@@ -548,7 +547,7 @@ ORACLES = {
         SELECT o_custkey course, CAST(ti AS INT) term_index, CAST(year(o_orderdate) AS VARCHAR) term_code,
         '{{"ab":' || CAST(total // 4 AS VARCHAR) || ',"W":1}}' grades, total student_count,
         CASE WHEN total > 0 THEN round((total // 4) * 3.5::DOUBLE / total, 9) ELSE 0 END avg_gpa FROM o JOIN t ON l_orderkey = o_orderkey""",
-    "bundle_labels": """WITH g AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) rf, max(l_suppkey) supp FROM lineitem GROUP BY 1, 2),
+    "bundle_labels": f"""WITH g AS (SELECT l_orderkey, l_linenumber, l_returnflag rf, l_suppkey supp FROM {NUMBERED}),
         s AS (SELECT l_orderkey, l_linenumber, CASE rf WHEN 'A' THEN 'LEC' WHEN 'N' THEN 'DIS' ELSE 'SEC' END t, CASE rf WHEN 'A' THEN 0 WHEN 'N' THEN 3 ELSE 99 END r,
           CASE WHEN supp % 5 <> 0 THEN 'N' || CAST(supp % 12 AS VARCHAR) END n, CASE WHEN supp % 5 <> 0 THEN supp % 12 ELSE -1 END nn FROM g)
         SELECT l_orderkey, 'O ' || CAST(l_orderkey AS VARCHAR) || ' ' || string_agg(t || ' ' || coalesce(n, '???'), ' + '
@@ -559,7 +558,8 @@ ORACLES = {
     "note_fragments_own": f"""WITH {_NOTE}, own AS (SELECT course, doc_id, string_agg(fragment, ' | ' ORDER BY pos) t FROM f
           WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.course = f.course AND sh.fragment = f.fragment) GROUP BY 1, 2)
         SELECT d.source course, d.doc_id, md5(t) note_md5, CAST(length(t) AS INT) note_chars FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id""",
-    "note_sections": r"""WITH n AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN 'Open to all student careers except graduate students.' ELSE text END note FROM conversations),
+    "note_sections": r"""WITH n AS (SELECT conv_id, turn, text note FROM conversations
+          UNION ALL SELECT DISTINCT conv_id, -1, 'Open to all student careers except graduate students.' FROM conversations),
         s AS (SELECT *, CASE WHEN regexp_matches(note, '(?i)\btextbook\b|\btexts?\b|\bbooks?\b|\bo''reilly\b|\blibrary\b|\bedition\b|\bhardcopy\b') THEN 'Textbooks'
           WHEN regexp_matches(note, '(?i)\bcareers?\b|\bcontact us\b|\bphone\b|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b') THEN 'Notes'
           WHEN (length(note) >= 160 OR contains(note, chr(10))) AND regexp_matches(note, '(?i)physical attendance|team project|typical weekly schedule|\bkeywords\b|\bformat\b|software engineering|agile|scrum|pair programming|practical exam|mid-?term|final exam')

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULL_TEXT = "cast(null as string)"
@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus"]
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """The test table repeats (order, line number): the k-th repeat gets the number plus 7 * (k - 1)."""
+    repeat = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_LINE_ORDER))
+    return lines.withColumn("_repeat", repeat).withColumn("l_linenumber", F.col("l_linenumber") + 7 * (F.col("_repeat") - 1)).drop("_repeat")
+
+
+NUMBERED = f"""(SELECT * REPLACE (CAST(l_linenumber + 7 * (row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+  ORDER BY {', '.join(_LINE_ORDER)}) - 1) AS INT) AS l_linenumber) FROM lineitem)"""
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
@@ -97,13 +110,10 @@ class Catalog:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """One row per (order, line number): the test table repeats them."""
-        return self.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.max("l_quantity").cast("int").alias("q"),
-            F.max("l_suppkey").alias("supp"),
-            F.max("l_returnflag").alias("rf"),
-            F.max("l_linestatus").alias("ls"),
-            F.max("l_shipdate").alias("ship"),
+        """Every line, with a number of its own in the order; ``slot`` is the number in the test table."""
+        return numbered_lines(self.t("lineitem")).selectExpr(
+            "l_orderkey", "l_linenumber", "(l_linenumber - 1) % 7 + 1 as slot", "cast(l_quantity as int) as q", "l_suppkey as supp",
+            "l_returnflag as rf", "l_linestatus as ls", "l_shipdate as ship",
         )
 
     @cached_property
@@ -129,11 +139,11 @@ class Catalog:
         places = self.t("supplier").selectExpr(
             "s_suppkey", "case when s_acctbal < 0 then null else cast(s_nationkey as string) end as building_code"
         )
-        start = "(13 + l_linenumber) * 3600000 + (supp % 4) * 900000"
+        start = "(13 + slot) * 3600000 + (supp % 4) * 900000"
         rows = self._section_lines.join(places, F.col("supp") == F.col("s_suppkey")).selectExpr(
             "package_id", "l_linenumber as section_class_number", "0 as meeting_index",
             "case when ls = 'F' and rf = 'R' then 'EXAM' else 'CLASS' end as meeting_type",
-            "case l_linenumber when 1 then 'MWF' when 2 then 'TR' when 3 then 'MW' when 4 then 'F' when 5 then 'TWR' when 6 then null else '?' end as meeting_days",
+            "case slot when 1 then 'MWF' when 2 then 'TR' when 3 then 'MW' when 4 then 'F' when 5 then 'TWR' when 6 then null else '?' end as meeting_days",
             f"cast({start} as bigint) as meeting_time_start",
             f"cast({start} + 3000000 + (supp % 3) * 1500000 as bigint) as meeting_time_end",
             "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ship) as start_date",
@@ -265,8 +275,8 @@ packages AS (
     CASE WHEN open_seats IS NULL THEN NULL WHEN open_seats <= 0 THEN 1 ELSE 0 END is_full
   FROM packages0),
 lines AS (
-  SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS INT) q, max(l_suppkey) supp, max(l_returnflag) rf, max(l_linestatus) ls, max(l_shipdate) ship
-  FROM lineitem GROUP BY 1, 2),
+  SELECT l_orderkey, l_linenumber, (l_linenumber - 1) % 7 + 1 slot, CAST(l_quantity AS INT) q, l_suppkey supp, l_returnflag rf, l_linestatus ls, l_shipdate ship
+  FROM %NUMBERED%),
 section_lines AS (
   SELECT l.*, o.package_id, o.term_code, o.course_id FROM lines l JOIN placed_orders o ON o.o_orderkey = l.l_orderkey),
 sections AS (
@@ -279,9 +289,9 @@ sections AS (
 meetings AS (
   SELECT package_id, l_linenumber section_class_number, 0 meeting_index,
     CASE WHEN ls = 'F' AND rf = 'R' THEN 'EXAM' ELSE 'CLASS' END meeting_type,
-    CASE l_linenumber WHEN 1 THEN 'MWF' WHEN 2 THEN 'TR' WHEN 3 THEN 'MW' WHEN 4 THEN 'F' WHEN 5 THEN 'TWR' WHEN 6 THEN NULL ELSE '?' END meeting_days,
-    CAST((13 + l_linenumber) * 3600000 + (supp % 4) * 900000 AS BIGINT) meeting_time_start,
-    CAST((13 + l_linenumber) * 3600000 + (supp % 4) * 900000 + 3000000 + (supp % 3) * 1500000 AS BIGINT) meeting_time_end,
+    CASE slot WHEN 1 THEN 'MWF' WHEN 2 THEN 'TR' WHEN 3 THEN 'MW' WHEN 4 THEN 'F' WHEN 5 THEN 'TWR' WHEN 6 THEN NULL ELSE '?' END meeting_days,
+    CAST((13 + slot) * 3600000 + (supp % 4) * 900000 AS BIGINT) meeting_time_start,
+    CAST((13 + slot) * 3600000 + (supp % 4) * 900000 + 3000000 + (supp % 3) * 1500000 AS BIGINT) meeting_time_end,
     epoch_ms(ship) start_date, epoch_ms(ship) + 5184000000 end_date,
     CASE WHEN ls = 'F' AND rf = 'R' THEN epoch_ms(ship) END exam_date, 'R' || CAST(supp AS VARCHAR) room,
     CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END building_code,
@@ -355,7 +365,7 @@ canonical_meetings0 AS (
   LEFT JOIN buildings b ON b.building_code = m.building_code),
 canonical_meetings AS (
   SELECT *, CAST(greatest(end_minute_local - start_minute_local, 0) AS INT) duration_minutes FROM canonical_meetings0)
-"""
+""".replace("%NUMBERED%", NUMBERED)
 
 
 def oracle(body: str) -> str:

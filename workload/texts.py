@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rosterloom.functions.text import search_tokens
 from rosterloom.operators import requirements as rq
 from rosterloom.operators import search as se
 from rosterloom.operators.versions import top_per_key
@@ -102,11 +101,8 @@ def browse_prefix(spark, sf):
 
 
 def _topic_queries(spark, sf):
-    """Two leading words of every benchmark passage."""
-    words = search_tokens(F.col("text"))
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("text")
-    )
+    """Every benchmark passage, whole."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25_topk(spark, sf):
@@ -285,7 +281,7 @@ ORACLES = {
         fi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, f2 DESC, f3 DESC, f4 DESC, f5 DESC,
           coalesce(has_any_open_seats, 0) DESC, coalesce(section_count, 0) DESC, course_designation) rank FROM rp WHERE rk = 1)
         SELECT query_id, rank, course_id, course_designation FROM fi WHERE rank <= 24""",
-    "semi_exists_tokens": """WITH q AS (SELECT item_id query_id, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 2)) ts FROM benchmark),
+    "semi_exists_tokens": """WITH q AS (SELECT item_id query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) ts FROM benchmark),
         qt AS (SELECT query_id, unnest(ts) t, len(ts) w FROM q), d AS (SELECT doc_id, lower(text) x FROM documents),
         h AS (SELECT DISTINCT doc_id, t FROM d JOIN (SELECT DISTINCT t FROM qt) ON contains(x, t))
         SELECT query_id, doc_id FROM qt JOIN h USING (t) GROUP BY 1, 2 HAVING count(*) = min(w)""",
@@ -295,7 +291,7 @@ ORACLES = {
           FROM s JOIN ov ON starts_with(upper(course_designation), upper(trim(s.query_id)))),
         fi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(has_any_open_seats, 0) DESC, coalesce(section_count, 0) DESC, course_designation) rank
           FROM rp WHERE rk = 1) SELECT query_id, rank, course_id, course_designation FROM fi WHERE rank <= 50""",
-    "bm25_topk": """WITH q AS (SELECT item_id query_id, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 2)) ts FROM benchmark),
+    "bm25_topk": """WITH q AS (SELECT item_id query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) ts FROM benchmark),
         qt AS (SELECT query_id, unnest(ts) qtoken, len(ts) wanted FROM q),
         po AS (SELECT doc_id, token, count(*) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) token FROM documents) GROUP BY 1, 2),
         ln AS (SELECT doc_id, sum(tf) len FROM po GROUP BY 1), st AS (SELECT count(*) nn, avg(len) av FROM ln),
