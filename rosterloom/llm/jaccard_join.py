@@ -17,7 +17,8 @@ group is expanded into all pairs.  In a few rounds each group's hub is verified
 members, and components are contracted.  Sets that still share keys across components are indexed
 again with two units wherever possible (wider subsets with one-deletion neighbourhoods, many more keys
 for few sets), and the remaining pairs of different components are enumerated, each at its first
-common key.  Every pair is verified on the shingles themselves
+common key.  Before that, shingles that no other remaining set holds are charged against the difference
+that is allowed, which settles most sets without any pair.  Every pair is verified on the shingles themselves
 (64-bit hashes, as are all shingles here).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words
@@ -320,8 +321,23 @@ def _hub_pairs(active: DataFrame, hubs: int, turn: int, percent: int) -> DataFra
     ).distinct()
 
 
+def _with_partners(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Sets (node, shingles, alone) that can have a partner among them; ``alone`` counts shingles of no other set.
+
+    Such shingles differ from every partner, so a set with more of them than any difference that is
+    allowed is linked with nothing.  Without it others may stand alone, hence more than one round.
+    """
+    for _ in range(rounds):
+        held = sets.select("node", F.explode("shingles").alias("s"))
+        single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+        counts = single.groupBy("node").agg(F.count("*").alias("alone"))
+        counted = sets.drop("alone").join(counts, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        sets = cut_lineage(counted.filter(F.col("alone") * percent <= (100 - percent) * F.size("shingles")))
+    return sets
+
+
 def _remaining_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in a group, each at the first key that makes it a candidate."""
+    """Pairs of different components in a group that can be linked, each at the first key that makes it a candidate."""
     lists = active.groupBy("node").agg(
         F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("probe"), F.col("key"))).alias("probed")
     )
@@ -336,6 +352,7 @@ def _remaining_pairs(active: DataFrame, percent: int) -> DataFrame:
         & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.comp") != F.col("y.comp"))
         & _close_in_size(F.col("x.n"), F.col("y.n"), percent)
+        & ((F.col("x.alone") + F.col("y.alone")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
         & (F.col("x.key") == first),
     )
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
@@ -372,8 +389,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             pairs = _hub_pairs(active, hubs, turn, percent)
         else:
             # What shares keys but was not linked by hubs is indexed again, more selectively, and paired.
-            left = active.select("node").distinct()
-            rest = _wide_keys(sets.join(left, "node", "left_semi"), percent).join(labels, "node")
+            left = _with_partners(sets.join(active.select("node").distinct(), "node", "left_semi"), percent)
+            rest = _wide_keys(left, percent).join(left.select("node", "alone"), "node").join(labels, "node")
             pairs = _remaining_pairs(cut_lineage(_open_groups(rest)), percent)
         if apart is not None:
             pairs = pairs.join(apart, ["u", "v"], "left_anti")
