@@ -94,13 +94,22 @@ def defined_leaves(*leaves: Column) -> Column:
     return total
 
 
+def _all_strings(items: Column) -> Column:
+    return F.forall(items, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+
+
 def string_list(x: Column) -> Column:
-    """JSON text to array<string>; NULL or anything else gives an empty array."""
-    return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
+    """JSON text to array<string>; empty unless it is a list of nothing but strings."""
+    items = F.try_variant_get(F.try_parse_json(x), "$", "array<variant>")
+    return F.when(_all_strings(items), F.from_json(x, "array<string>")).otherwise(F.array().cast("array<string>"))
 
 
 def string_groups(x: Column) -> Column:
-    return F.coalesce(F.from_json(x, "array<array<string>>"), F.array().cast("array<array<string>>"))
+    """JSON text to array<array<string>>; empty unless it is a list of lists of strings."""
+    groups = F.try_variant_get(F.try_parse_json(x), "$", "array<variant>")
+    lists = F.transform(groups, lambda g: F.try_variant_get(g, "$", "array<variant>"))
+    right = F.forall(lists, lambda items: F.coalesce(_all_strings(items), F.lit(False)))
+    return F.when(right, F.from_json(x, "array<array<string>>")).otherwise(F.array().cast("array<array<string>>"))
 
 
 def valid_json(x: Column) -> Column:

@@ -134,11 +134,13 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
     positioned = cut_lineage(all_courses.withColumn("_position", F.monotonically_increasing_id()))
     course_table = versions.first_wins(positioned, ["termCode", "courseId"], [F.col("_position")])
     course_rows = cut_lineage(catalog.course_rows(course_table))
-    listings = cut_lineage(_cross_listings(positioned, course_rows))
+    listings = cut_lineage(_cross_listings(positioned, catalog.entry_courses(records), course_rows))
 
-    people = best_people.join(numbers, ["package_id", "section_index"])
-    ordered = people.withColumn("record_id", F.monotonically_increasing_id())
-    ordered = cut_lineage(ordered)  # ids must not change between the joins below
+    # Instructor fields are the last known ones in input order, so records are numbered by their place in it.
+    places = records.select("package_id", "version", "entry_index", "package_index")
+    people = best_people.join(numbers, ["package_id", "section_index"]).join(places, ["package_id", "version"])
+    in_input = ["entry_index", "package_index", "section_index", "instructor_index", "package_id", "version"]
+    ordered = cut_lineage(versions.dense_ids(people, in_input, "record_id"))
     aliases, instructors = identity.collapse_identities(ordered, "record_id")
     instructors = cut_lineage(instructors)
     section_instructors = (
@@ -155,7 +157,12 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
         "package_id",
     )
     stamps = [courses.select(F.col("lastUpdated")), packages.select("package_last_updated")]
-    terms = [package_snapshot.select("termCode"), courses.select("termCode"), packages.select("term_code")]
+    in_snapshot = F.struct("entry_index", "package_index")
+    terms = [
+        package_snapshot.select("termCode", F.lit(0)),
+        positioned.select("termCode", "_position"),
+        records.select("term_code", in_snapshot),
+    ]
     tables = {
         "refresh_runs": snapshots.run_metadata(stamps, terms, refreshed_at),
         "courses": course_rows,
@@ -291,17 +298,23 @@ def _as_catalog(synth: DataFrame, courses: DataFrame) -> DataFrame:
     return synth.withColumn("subject", subject).withColumn("lastUpdated", F.lit(None).cast("bigint")).select(*courses.columns)
 
 
-def _cross_listings(positioned: DataFrame, course_rows: DataFrame) -> DataFrame:
+def _cross_listings(positioned: DataFrame, entries: DataFrame, course_rows: DataFrame) -> DataFrame:
+    """Designations of a course from the catalog and, behind them, from every package entry."""
     own = course_rows.select(*rm.COURSE_KEY, squeeze(F.col("course_designation")).alias("_own"))
-    rows = positioned.select(
-        F.col("termCode").alias("term_code"),
-        F.col("courseId").alias("course_id"),
-        squeeze(F.col("courseDesignation")).alias("course_designation"),
-        F.col("fullCourseDesignation").alias("full_course_designation"),
-        F.col("subject.subjectCode").alias("subject_code"),
-        F.col("catalogNumber").alias("catalog_number"),
-        "_position",
-    ).filter("course_designation IS NOT NULL")
+
+    def listed(df: DataFrame, source: int, position: str) -> DataFrame:
+        return df.select(
+            F.col("termCode").alias("term_code"),
+            F.col("courseId").alias("course_id"),
+            squeeze(F.col("courseDesignation")).alias("course_designation"),
+            F.col("fullCourseDesignation").alias("full_course_designation"),
+            F.col("subject.subjectCode").alias("subject_code"),
+            F.col("catalogNumber").alias("catalog_number"),
+            F.struct(F.lit(source).alias("source"), F.col(position).cast("long").alias("at")).alias("_position"),
+        )
+
+    rows = listed(positioned, 0, "_position").unionByName(listed(entries, 1, "entry_index"))
+    rows = rows.filter("course_designation IS NOT NULL")
     flagged = rows.join(own, rm.COURSE_KEY, "left").withColumn(
         "is_primary", F.coalesce((F.col("course_designation") == F.col("_own")).cast("int"), F.lit(0))
     )

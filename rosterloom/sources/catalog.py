@@ -172,6 +172,23 @@ def instructor_records(numbered: DataFrame) -> DataFrame:
     )
 
 
+def entry_courses(records: DataFrame) -> DataFrame:
+    """The course that each package entry names, one row per entry and course, in the nested catalog shape."""
+    c = F.col("course")
+    rows = records.filter("term_code IS NOT NULL AND course_id IS NOT NULL").select(
+        F.coalesce(c["termCode"], "term_code").alias("termCode"),
+        F.coalesce(c["courseId"], "course_id").alias("courseId"),
+        c["courseDesignation"].alias("courseDesignation"),
+        c["fullCourseDesignation"].alias("fullCourseDesignation"),
+        F.struct(F.coalesce(c["subjectCode"], c["subject"]["subjectCode"], "subject_code").alias("subjectCode")).alias("subject"),
+        c["catalogNumber"].alias("catalogNumber"),
+        "entry_index",
+        "package_index",
+    )
+    named = [x for x in rows.columns if x not in ("termCode", "courseId", "entry_index", "package_index")]
+    return rows.groupBy("entry_index", "termCode", "courseId").agg(*[F.min_by(x, "package_index").alias(x) for x in named])
+
+
 def synthesized_courses(records: DataFrame) -> DataFrame:
     """Courses known only from packages, in the nested catalog shape (one per term and course)."""
     c = F.col("course")

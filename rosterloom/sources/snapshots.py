@@ -84,22 +84,23 @@ def iso_millis(epoch_ms: Column) -> Column:
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def run_metadata(updates: Sequence[DataFrame], terms: Sequence[Column | DataFrame], fallback_iso: str) -> DataFrame:
-    """One row: newest update over all sources as ISO text, and the first known term.
+def run_metadata(updates: Sequence[DataFrame], terms: Sequence[DataFrame], fallback_iso: str) -> DataFrame:
+    """One row: newest update over all sources as ISO text, and the first known term, else ``unknown``.
 
-    ``updates`` are one-column frames of epoch milliseconds, ``terms`` one-column frames in order
-    of preference.
+    ``updates`` are one-column frames of epoch milliseconds.  ``terms`` are frames (term, position)
+    in order of preference; the known term of the smallest position counts.
     """
     stamps = updates[0].toDF("ms")
     for more in updates[1:]:
         stamps = stamps.unionByName(more.toDF("ms"))
     newest = stamps.agg(F.max("ms").alias("ms"))
-    picks = [t.toDF("term").agg(F.min("term").alias("term")).scalar() for t in terms]
+    known = [t.toDF("term", "position").filter("term IS NOT NULL") for t in terms]
+    picks = [t.agg(F.min_by("term", "position").alias("term")).scalar() for t in known]
     return newest.select(
         F.lit(1).alias("refresh_id"),
         F.coalesce(iso_millis(F.col("ms")), F.lit(fallback_iso)).alias("snapshot_run_at"),
         F.lit(fallback_iso).alias("last_refreshed_at"),
-        F.coalesce(*picks).alias("source_term_code"),
+        F.coalesce(*picks, F.lit("unknown")).alias("source_term_code"),
     )
 
 

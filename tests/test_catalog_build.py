@@ -200,3 +200,28 @@ def test_documented_queries_run(spark, tables):
     assert spark.sql("SELECT * FROM course_overview_v WHERE minimum_credits != maximum_credits").count() == 0
     assert spark.sql("SELECT * FROM schedule_candidates_v WHERE campus_day_count <= 4 AND earliest_start_minute_local >= 540 AND open_seats > 0").count() == 2
     assert spark.sql("SELECT * FROM refresh_runs ORDER BY last_refreshed_at DESC LIMIT 1").count() == 1
+
+
+def test_every_package_entry_is_a_cross_listing_and_input_order_decides_names(spark, tmp_path):
+    """Aliases known from packages only, and one person under many last names, for two partition counts."""
+    courses = [{"termCode": "1272", "courseId": "000070", "courseDesignation": "AAA 1", "title": "T", "subject": {"subjectCode": "1"}}]
+    teacher = [{"netid": "kim", "name": {"first": "Kim", "last": f"Name{i}"}} for i in range(12)]
+
+    def entry(designation, first):
+        course = {"termCode": "1272", "subjectCode": "1", "courseId": "000070", "courseDesignation": designation}
+        made = [package(f"q{i}", [section(300 + i, "LEC", f"0{i:02d}", instructors=[teacher[i]])]) for i in range(first, first + 6)]
+        return {"course": course, "packages": made}
+
+    snapshot = {"termCode": None, "results": [entry("AAA 1", 0), entry("BBB  1", 6)]}
+    (tmp_path / "courses.json").write_text(json.dumps(courses))
+    (tmp_path / "packages.json").write_text(json.dumps(snapshot))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            built = build_from_files(spark, str(tmp_path / "courses.json"), str(tmp_path / "packages.json"), "2026-04-12T00:00:00.000Z")
+            assert rows(built["course_cross_listings"], "course_designation", "is_primary") == [("AAA 1", 1), ("BBB 1", 0)]
+            assert rows(built["instructors"], "instructor_key", "last_name") == [("netid:kim", "Name11")]
+            assert built["refresh_runs"].first()["source_term_code"] == "1272"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

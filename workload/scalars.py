@@ -144,11 +144,17 @@ def json_field_extract(spark, sf):
 
 
 def json_list_parse(spark, sf):
-    """String lists built, validated and parsed back; anything else is empty."""
-    text = F.when(F.col("p_size") > 40, F.lit("not json")).when(F.col("p_size") > 25, F.lit(None)).otherwise(
-        F.to_json(F.array("p_name", "p_type"))
+    """String lists built, validated and parsed back; anything else, lists of other things too, is empty."""
+    size = F.col("p_size").cast("string")
+    text = (
+        F.when(F.col("p_size") > 40, F.lit("not json"))
+        .when(F.col("p_size") > 25, F.lit(None))
+        .when(F.col("p_size") > 20, F.concat(F.lit('["a",'), size, F.lit("]")))
+        .when(F.col("p_size") > 15, F.concat(F.lit('[{"x":'), size, F.lit("}]")))
+        .otherwise(F.to_json(F.array("p_name", "p_type")))
     )
-    groups = F.to_json(F.array(F.array("p_name"), F.array("p_type", "p_brand")))
+    named = F.to_json(F.array(F.array("p_name"), F.array("p_type", "p_brand")))
+    groups = F.when(F.col("p_size") > 30, F.concat(F.lit('[["a"],['), size, F.lit("]]"))).otherwise(named)
     parsed = table(spark, sf, "part").select(
         "p_partkey", tx.string_list(text).alias("items"), tx.string_groups(groups).alias("groups")
     )
@@ -291,8 +297,8 @@ ORACLES = {
         CASE WHEN length(url) > 30 THEN NULL ELSE lower(url) END key_form FROM pages""",
     "compact_key": """SELECT p_partkey, 'li' || lower(p_type) || ' ' || CAST(p_partkey AS VARCHAR) || ' ' || lower(p_name) compact, lower(p_name) no_digit FROM part""",
     "json_field_extract": """SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END valid, CAST(regexp_extract(props, '[0-9]+') AS INT) k FROM events""",
-    "json_list_parse": """SELECT p_partkey, CASE WHEN p_size > 25 THEN 0 ELSE 2 END n_items, CASE WHEN p_size > 25 THEN '' ELSE p_name || '|' || p_type END joined,
-        2 n_groups, p_type || '|' || p_brand AS second FROM part""",
+    "json_list_parse": """SELECT p_partkey, CASE WHEN p_size > 15 THEN 0 ELSE 2 END n_items, CASE WHEN p_size > 15 THEN '' ELSE p_name || '|' || p_type END joined,
+        CASE WHEN p_size > 30 THEN 0 ELSE 2 END n_groups, CASE WHEN p_size <= 30 THEN p_type || '|' || p_brand END AS second FROM part""",
     "synthetic_negative_id": """WITH d AS (SELECT doc_id, source, source || ':' || lang seed, CASE WHEN n_chars > 2000 THEN n_chars END number FROM documents),
         m AS (SELECT *, row_number() OVER (PARTITION BY source, seed ORDER BY doc_id) - 1 occ, count(*) OVER (PARTITION BY source, seed) times
           FROM d WHERE number IS NULL),
