@@ -17,7 +17,8 @@ group is expanded into all pairs.  In a few rounds each group's hub is verified
 members, and components are contracted.  Sets that still share keys across components are indexed
 again with two units wherever possible (wider subsets with one-deletion neighbourhoods, many more keys
 for few sets), and the remaining pairs of different components are enumerated, each at its first
-common key.  Before that, shingles that no other remaining set holds are charged against the difference
+common key; groups of more than ``LARGE_GROUP`` sets make no pairs but are verified in cells of bounded
+size, which give a spanning forest of links.  Before that, shingles that no other remaining set holds are charged against the difference
 that is allowed, which settles most sets without any pair.  Every pair is verified on the shingles themselves
 (64-bit hashes, as are all shingles here).
 
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -49,6 +51,8 @@ BAND_GROWTH = 1.3
 WIDE = 2.5  # size of a segment of two units, in segments of one unit
 THIN_COST = 2000.0  # cost of probing with a subset of few shingles, in keys
 HUBS_PER_ROUND = (1, 2, 2)
+LARGE_GROUP = 32  # groups up to this size make pairs, larger ones are verified in cells of two chunks
+CHUNK = 500
 CACHED_WORDS = 400_000
 SEEN_SETS = 500_000
 _MASK = (1 << 64) - 1
@@ -336,28 +340,95 @@ def _with_partners(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     return sets
 
 
-def _remaining_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a group that can be linked, each at the first key that makes it a candidate."""
-    lists = active.groupBy("node").agg(
+def _can_link(x: str, y: str, percent: int) -> F.Column:
+    """Different components, sizes within the threshold, and lone shingles within the allowed difference."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    return (
+        (col(x, "comp") != col(y, "comp"))
+        & _close_in_size(col(x, "n"), col(y, "n"), percent)
+        & ((col(x, "alone") + col(y, "alone")) * (100 + percent) <= (100 - percent) * (col(x, "n") + col(y, "n")))
+    )
+
+
+def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs in the small groups, each at the first key that makes it a candidate.
+
+    ``rows`` are all rows of the nodes; a pair whose first key belongs to a large group is left to the cells.
+    """
+    lists = rows.groupBy("node").agg(
         F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("probe"), F.col("key"))).alias("probed")
     )
-    rows = cut_lineage(active.join(lists, "node"))
-    x, y = rows.alias("x"), rows.alias("y")
+    small = cut_lineage(rows.filter(~F.col("large")).join(lists, "node"))
+    x, y = small.alias("x"), small.alias("y")
     first = F.least(
         F.array_min(F.array_intersect("x.probed", "y.all")), F.array_min(F.array_intersect("x.all", "y.probed"))
     )
     met = x.join(
         y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & _close_in_size(F.col("x.n"), F.col("y.n"), percent)
-        & ((F.col("x.alone") + F.col("y.alone")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
-        & (F.col("x.key") == first),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _can_link("x", "y", percent) & (F.col("x.key") == first),
     )
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
+def links_between(left: list[int], right: list[int], sets: list[np.ndarray], comps: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (places) between two lists of sets that join components, a spanning forest of them; the lists may be the same.
+
+    Intersections are counted by a matrix product over the shingles that several sets hold, in blocks.
+    """
+    order = sorted({*left, *right})
+    lengths = np.array([len(sets[i]) for i in order])
+    flat, owner = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), lengths)
+    _, token, held = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = held[token] > 1
+    owner, token = owner[shared], np.unique(token[shared], return_inverse=True)[1]
+    common = np.zeros((len(order), len(order)), np.float32)
+    by_token = np.argsort(token, kind="stable")
+    owner, token = owner[by_token], token[by_token]
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        low, high = np.searchsorted(token, [first, first + 4096])
+        block = np.zeros((len(order), 4096), np.float32)
+        block[owner[low:high], token[low:high] - first] = 1
+        common += block @ block.T
+    linked = 100 * common >= percent * (lengths[:, None] + lengths[None, :] - common)
+    on_left, on_right = np.isin(order, left), np.isin(order, right)
+    linked &= (on_left[:, None] & on_right[None, :]) | (on_right[:, None] & on_left[None, :])
+    root = {comps[i]: comps[i] for i in order}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a, b in zip(*np.nonzero(np.triu(linked, 1))):
+        x, y = top(comps[order[a]]), top(comps[order[b]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((order[a], order[b]))
+    return out
+
+
+def _cell_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in the large groups: members are dealt into chunks, and every two chunks meet in a cell of bounded size."""
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    dealt = rows.filter("large").select("key", "node", "comp", chunks.alias("chunks"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = met.select(
+        "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "node", "comp"
+    ).join(sets.select("node", "shingles"), "node")
+
+    def verify(cell: pd.DataFrame) -> pd.DataFrame:
+        first, second = cell["a"].iloc[0], cell["b"].iloc[0]
+        chunk, nodes = cell["chunk"].to_numpy(), cell["node"].to_numpy()
+        left, right = np.flatnonzero(chunk == first).tolist(), np.flatnonzero(chunk == second).tolist()
+        links = links_between(left, right, [np.asarray(s) for s in cell["shingles"]], cell["comp"].tolist(), percent)
+        return pd.DataFrame([(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in links], columns=["u", "v"], dtype="int64")
+
+    return cells.groupBy("key", "a", "b").applyInPandas(verify, "u long, v long").distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with the flag ``linked``, from the shingles themselves."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_x"))
@@ -390,14 +461,19 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         else:
             # What shares keys but was not linked by hubs is indexed again, more selectively, and paired.
             left = _with_partners(sets.join(active.select("node").distinct(), "node", "left_semi"), percent)
-            rest = _wide_keys(left, percent).join(left.select("node", "alone"), "node").join(labels, "node")
-            pairs = _remaining_pairs(cut_lineage(_open_groups(rest)), percent)
+            rest = _open_groups(_wide_keys(left, percent).join(left.select("node", "alone"), "node").join(labels, "node"))
+            members = rest.groupBy("key").agg(F.count("*").alias("members"))
+            rest = cut_lineage(rest.join(members, "key").withColumn("large", F.col("members") > LARGE_GROUP))
+            in_cells = cut_lineage(_cell_links(rest, left, percent))
+            pairs = _remaining_pairs(rest, percent)
         if apart is not None:
             pairs = pairs.join(apart, ["u", "v"], "left_anti")
         verified = cut_lineage(_verify(pairs, sets, percent))
         refused = verified.filter("not linked").select("u", "v")
         apart = refused if apart is None else apart.unionByName(refused)
         links = verified.filter("linked").select("u", "v")
+        if not hubs:
+            links = links.unionByName(in_cells)
         ends = links.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(
             labels.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v"
         )

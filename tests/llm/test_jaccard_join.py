@@ -67,14 +67,38 @@ def test_texts_that_share_a_long_passage(make_docs):
     assert as_dict(components(make_docs(texts))) == brute.jaccard_components(list(enumerate(texts)))
 
 
-def test_rounds_without_hubs_give_the_same(make_docs, monkeypatch):
+@pytest.mark.parametrize("large, chunk", [(1000, 200), (0, 7)])
+def test_rounds_without_hubs_give_the_same(make_docs, monkeypatch, large, chunk):
+    """Pairs alone, and cells alone."""
     monkeypatch.setattr(jaccard_join, "HUBS_PER_ROUND", ())
+    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", large)
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(edited(rng, base, rng.randrange(4))) for _ in range(40)]
     assert as_dict(components(make_docs(texts))) == brute.jaccard_components(list(enumerate(texts)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32))
+def test_cells_join_what_links_join(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**62, 40)
+    sets = [np.unique(np.concatenate([base[rng.random(40) > 0.06], rng.integers(0, 2**62, rng.integers(0, 4))])) for _ in range(12)]
+    found = jaccard_join.links_between(list(range(6)), list(range(6, 12)), sets, list(range(12)), 90)
+    component, want = list(range(12)), list(range(12))
+    for i, j in found:
+        common = len(np.intersect1d(sets[i], sets[j]))
+        assert (i < 6) != (j < 6) and 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common)
+        component = [component[i] if c == component[j] else c for c in component]
+    for i in range(6):
+        for j in range(6, 12):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
+                want = [want[i] if c == want[j] else c for c in want]
+    assert all((component[i] == component[j]) == (want[i] == want[j]) for i in range(12) for j in range(12))
+
+
 def test_copies_null_ids_and_empty_tables(make_docs):
     docs = make_docs([(5, "x y z w"), (9, "x y z w"), (9, "x y z w"), (None, "x y z w"), (None, None)])
     rows = sorted(((r["doc_id"], r["component_id"]) for r in components(docs).collect()), key=str)
