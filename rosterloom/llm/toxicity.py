@@ -69,9 +69,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
     for flag in (0, 1):
         part = flags.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(2 * limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # Documents may lack some labelled ids, so twice as many ids are looked up as rows are kept.
+    # Documents may lack some labelled ids, so twice as many ids are looked up as rows are kept.  At
+    # most 4 * limit ids are broadcast; so no text is shuffled to find the sample.
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"))
-    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.first("toxic").alias("toxic"), F.min("_text").alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.first("toxic").alias("toxic"), F.min("_text").alias("_text"))
     kept = None
     for flag in (0, 1):
         part = rows.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(limit)
