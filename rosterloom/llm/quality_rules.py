@@ -6,7 +6,7 @@ covariance determinant: from medians and absolute deviations, concentration step
 ``CORE`` of documents with the smallest Mahalanobis distance and take mean and covariance again.
 Quantiles, means and covariances are combinable aggregates, so a group of any size is never gathered;
 only one small row per group is joined back.  A document is rejected if its distance to its group
-exceeds ``CUTOFF``.
+exceeds ``CUTOFF``, the chi-square quantile that leaves ``TAIL`` of a normal sample outside.
 
 Most statistics are 0 for most prose, so scatter matrices get the square of ``FLOOR`` added on
 their diagonal: smaller differences never count as outlying.  Groups with fewer than ``MIN_GROUP``
@@ -31,11 +31,12 @@ MAX_REPEATED_PERCENT = 50
 CORE = 0.75
 STEPS = 6
 MIN_GROUP = 50
-CUTOFF = 30.0  # squared distance; four independent normal values exceed it about 5 times in a million
+TAIL = 0.001  # share of normal documents beyond the cutoff
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-# Transformed statistics and the smallest difference that counts as scatter.
-FLOOR = {"word_length": 0.1, "symbol_share": 0.05, "duplicate_lines": 0.25, "repetition": 0.15}
+# Transformed statistics and the smallest difference that counts as scatter.  Roots of shares lie in 0..1, so
+# a floor of 0.1 lets a statistic reject alone beyond a share of about 0.18 where its group has none.
+FLOOR = {"word_length": 0.1, "symbol_share": 0.05, "duplicate_lines": 0.1, "repetition": 0.1}
 FEATURES = list(FLOOR)
 _QUANTILE_ACCURACY = 2000
 
@@ -124,13 +125,20 @@ def _chi2_cdf(x: float, dof: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
-def consistency(core: float = CORE, p: int = len(FEATURES)) -> float:
-    """Factor that makes the scatter of the core of a normal sample that of the whole sample."""
+def _chi2_quantile(share: float, dof: int) -> float:
     low, high = 0.0, 100.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if _chi2_cdf(mid, p) < core else (low, mid)
-    return core / _chi2_cdf(low, p + 2)
+        low, high = (mid, high) if _chi2_cdf(mid, dof) < share else (low, mid)
+    return low
+
+
+CUTOFF = _chi2_quantile(1 - TAIL, len(FEATURES))  # squared distance, about 18.47
+
+
+def consistency(core: float = CORE, p: int = len(FEATURES)) -> float:
+    """Factor that makes the scatter of the core of a normal sample that of the whole sample."""
+    return core / _chi2_cdf(_chi2_quantile(core, p), p + 2)
 
 
 def _factor(estimates: DataFrame, keys: list[str], covariance) -> DataFrame:

@@ -97,3 +97,19 @@ def test_consistency_factor_of_a_normal_core():
     d = (x**2).sum(axis=1)
     core = x[d <= np.quantile(d, quality_rules.CORE)]
     assert abs(quality_rules.consistency() * core.var() - 1) < 0.02
+
+
+def test_one_outlying_statistic_rejects(spark):
+    """Repeated lines without repeated windows, and repeated windows without repeated lines, each enough by itself."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 8))) for _ in range(n))
+    texts = ["\n".join(fresh(9) for _ in range(20)) for _ in range(200)]
+    texts += ["\n".join(f"{fresh(9)}\nrefrain" for _ in range(20)), "\n".join(f"{fresh(12)} over the hills and far away" for _ in range(12))]
+    rows = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality_rules.judge(rows).collect()}
+    lines, windows = found[200], found[201]
+    assert lines["n_dup_lines"] == 19 and lines["n_repeat_words"] == 0
+    assert windows["n_dup_lines"] == 0 and 0.3 < windows["n_repeat_words"] / windows["n_words"] < 0.5
+    assert not lines["base_failed"] and not lines["kept"]
+    assert not windows["base_failed"] and not windows["kept"]
+    assert all(found[i]["kept"] for i in range(200))
