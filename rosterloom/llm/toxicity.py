@@ -6,7 +6,9 @@ words.  The output is the expected grade, the sum of P(grade > k).
 
 The model is fitted on at most ``MAX_PER_LABEL`` labelled rows per label, those with the smallest
 hashes of their ids.  Rows of equal shingle minimum (near copies) share one weight of 1, so that copied
-texts do not make their words look typical.  Words and beginnings whose presence differs between
+texts do not make their words look typical.  Each label's rows are weighed up to all labelled documents
+of that label, so the odds of the labels, and with them thresholds and rejections, are those of the whole
+table, whatever part of it the sample holds.  Words and beginnings whose presence differs between
 toxic and other rows by ``MIN_Z`` standard errors become features, ``MAX_FEATURES`` at most.  The labels
 say toxic or not; a toxic row is grade 2 if it has more distinct toxic features than the median of
 toxic rows that have any, else 1.  Whole texts are scored.
@@ -28,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.session import cut_lineage
+
 MAX_PER_LABEL = 6000
 MAX_FEATURES = 500
 MIN_ROWS = 4.0  # weighted rows that must hold a word
@@ -61,7 +65,10 @@ def presence(text: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> DataFrame:
-    """(id, toxic, words, weight): the bounded sample with the features present, near copies sharing a weight of 1."""
+    """(id, toxic, words, weight, stands_for): the bounded sample with the features present.
+
+    Near copies share a ``weight`` of 1; ``stands_for`` is the number of labelled documents per sampled one of the label.
+    """
     flags = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
@@ -77,26 +84,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
     for flag in (0, 1):
         part = rows.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         kept = part if kept is None else kept.unionByName(part)
+    kept = cut_lineage(kept)
     words = kept.select("_id", "toxic", "_text", F.split(F.coalesce("_text", F.lit("")), r"\s+").alias("_words"))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, 3)))
     marked = words.withColumn("_copies", F.array_min(windows))
     copies = marked.groupBy("_copies", "toxic").agg((1.0 / F.count("*")).alias("weight"))
-    return marked.join(copies, ["_copies", "toxic"]).select(F.col("_id").alias("id"), "toxic", presence(F.col("_text")).alias("words"), "weight")
+    # Only ids are shuffled for the counts; labels without a document count for nothing.
+    present = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    labelled = flags.join(present, "_id", "left_semi").groupBy("toxic").agg(F.count("*").alias("_all"))
+    sampled = kept.groupBy("toxic").agg(F.count("*").alias("_sampled"))
+    shares = F.broadcast(labelled.join(sampled, "toxic").select("toxic", (F.col("_all") / F.col("_sampled")).alias("stands_for")))
+    return marked.join(copies, ["_copies", "toxic"]).join(shares, "toxic").select(
+        F.col("_id").alias("id"), "toxic", presence(F.col("_text")).alias("words"), "weight", "stands_for"
+    )
 
 
 def select_features(sample: DataFrame) -> list[tuple[str, float]]:
     """(word, z) of the words that tell the labels apart, strongest first; bounded by ``MAX_FEATURES``."""
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0.0), totals.get(1, 0.0)
-    if not n0 or not n1:
+    totals = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n"), F.first("stands_for").alias("f")).collect()}
+    if len(totals) < 2:
         return []
+    n0, n1 = totals[0]["n"], totals[1]["n"]
+    f0, f1 = totals[0]["f"] * (n0 + 1), totals[1]["f"] * (n1 + 1)
     counts = sample.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("weight")).otherwise(0.0)).alias("c0"),
         F.sum(F.when(F.col("toxic") == 1, F.col("weight")).otherwise(0.0)).alias("c1"),
     )
-    # Two-proportion test with half a row added on either side.
+    # Two-proportion test with half a row added on either side.  The labels are mixed as in the whole table;
+    # the errors are those of the rows that were sampled.
     p0, p1 = (F.col("c0") + 0.5) / (n0 + 1), (F.col("c1") + 0.5) / (n1 + 1)
-    p = (F.col("c0") + F.col("c1") + 1) / (n0 + n1 + 2)
+    p = (f0 * p0 + f1 * p1) / (f0 + f1)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n0 + 1) + 1 / (n1 + 1)))
     strong = counts.filter(F.col("c0") + F.col("c1") >= MIN_ROWS).select("word", z.alias("z")).filter(F.abs("z") >= MIN_Z)
     return [(r["word"], r["z"]) for r in strong.orderBy(F.desc(F.abs("z")), "word").limit(MAX_FEATURES).collect()]
@@ -171,15 +188,13 @@ def _minimise(loss, p: np.ndarray, rounds: int = 300, memory: int = 10) -> np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> OrdinalModel:
     """The model of the labelled rows; what reaches the driver is bounded by the sample and feature limits."""
-    from rosterloom.session import cut_lineage
-
     sample = cut_lineage(labelled_sample(docs, labels, limit))
     features = select_features(sample)
     if not features:
         return OrdinalModel((), (), ())
     vocabulary = [w for w, _ in features]
     listed = F.array(*map(F.lit, vocabulary))
-    rows = sample.select("toxic", "weight", F.array_intersect("words", listed).alias("present")).toPandas()
+    rows = sample.select("toxic", (F.col("weight") * F.col("stands_for")).alias("weight"), F.array_intersect("words", listed).alias("present")).toPandas()
     place = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, present in enumerate(rows["present"]):

@@ -87,3 +87,17 @@ def test_query_finds_labelled_rows(spark):
     right = sum(r["toxic"] == bool(labels[r["doc_id"]]) for r in rows)
     false_alarms = sum(r["toxic"] and not labels[r["doc_id"]] for r in rows)
     assert right >= 0.95 * len(rows) and false_alarms <= 3
+
+
+def test_a_cap_below_the_row_count_keeps_the_odds(spark, make_docs):
+    """The sample holds as many toxic as clean rows, while a fifth of the labelled documents is toxic."""
+    rows, toxic = corpus(1500, seed=9)
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in toxic.items()] + [(5000 + i, 1, 1) for i in range(900)], LABELS)
+    docs = make_docs([*rows, (9000, "")]).cache()
+    whole, capped = fit(docs, labels), fit(docs, labels, limit=150)
+    assert abs(capped.thresholds[0] - whole.thresholds[0]) < 0.7
+    p = [{r["doc_id"]: r["toxicity"]["p_toxic"] for r in score(docs, m).collect()} for m in (whole, capped)]
+    assert np.mean([abs(p[0][i] - p[1][i]) for i in p[0]]) < 0.001
+    sample = toxicity.labelled_sample(docs, labels, 150).groupBy("toxic").agg({"stands_for": "max", "*": "count"}).collect()
+    held = {r["toxic"]: r["max(stands_for)"] * r["count(1)"] for r in sample}
+    assert np.isclose(held[1], sum(toxic.values())) and np.isclose(held[0], 1500 - sum(toxic.values()))
