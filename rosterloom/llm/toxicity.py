@@ -84,15 +84,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
     for flag in (0, 1):
         part = rows.filter(F.col("toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         kept = part if kept is None else kept.unionByName(part)
-    kept = cut_lineage(kept)
     words = kept.select("_id", "toxic", "_text", F.split(F.coalesce("_text", F.lit("")), r"\s+").alias("_words"))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, 3)))
-    marked = words.withColumn("_copies", F.array_min(windows))
+    # Written before it is joined: a filter of the join on _copies would be pushed down with the split inside its lambda,
+    # which would split a text once per window.
+    marked = cut_lineage(words.select("_id", "toxic", "_text", F.array_min(windows).alias("_copies")))
     copies = marked.groupBy("_copies", "toxic").agg((1.0 / F.count("*")).alias("weight"))
     # Only ids are shuffled for the counts; labels without a document count for nothing.
     present = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
     labelled = flags.join(present, "_id", "left_semi").groupBy("toxic").agg(F.count("*").alias("_all"))
-    sampled = kept.groupBy("toxic").agg(F.count("*").alias("_sampled"))
+    sampled = marked.groupBy("toxic").agg(F.count("*").alias("_sampled"))
     shares = F.broadcast(labelled.join(sampled, "toxic").select("toxic", (F.col("_all") / F.col("_sampled")).alias("stands_for")))
     return marked.join(copies, ["_copies", "toxic"]).join(shares, "toxic").select(
         F.col("_id").alias("id"), "toxic", presence(F.col("_text")).alias("words"), "weight", "stands_for"

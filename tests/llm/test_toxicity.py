@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 
@@ -101,3 +103,27 @@ def test_a_cap_below_the_row_count_keeps_the_odds(spark, make_docs):
     sample = toxicity.labelled_sample(docs, labels, 150).groupBy("toxic").agg({"stands_for": "max", "*": "count"}).collect()
     held = {r["toxic"]: r["max(stands_for)"] * r["count(1)"] for r in sample}
     assert np.isclose(held[1], sum(toxic.values())) and np.isclose(held[0], 1500 - sum(toxic.values()))
+
+
+def test_long_labelled_texts(spark, make_docs):
+    """Labelled texts of 20,000 words are each read once, not once per window."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 977}" for j in range(20000)) + " vilething" * (i % 2) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], LABELS)
+    started = time.time()
+    sample = toxicity.labelled_sample(make_docs(texts), labels).collect()
+    assert len(sample) == 12 and time.time() - started < 30
+
+
+def test_query_against_brute_force(spark, documents, sf_dir):
+    """The query's rows from the model's own numbers, in plain Python."""
+    docs, labels = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")
+    model = fit(docs, labels)
+    weight = dict(zip(model.words, model.weights))
+    want = {}
+    for doc, text in documents:
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        words |= {"^" + w[:n] for w in words for n in toxicity.PREFIXES if len(w) > n}
+        total = sum(w for f, w in weight.items() if f in words)
+        want[doc] = sum(1 / (1 + np.exp(t - total)) for t in model.thresholds)
+    rows = {r["doc_id"]: r["expected_severity"] for r in queries.op1_toxicity(spark, sf_dir).collect()}
+    assert rows.keys() == want.keys() and all(np.isclose(rows[d], want[d]) for d in want)
