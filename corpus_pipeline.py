@@ -13,22 +13,36 @@ from rosterloom.session import checkpoint_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity stays below the limit; the model is fitted on the labelled ones."""
+    """Documents whose expected severity stays below the limit; the model is fitted on the labelled ones.
+
+    Null and empty texts have no words and are judged by the thresholds alone, long texts as wholes, repeated rows
+    alike; an empty table, or one without both labels, loses nothing; all columns are kept, also ones named like the score.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 0.9 and more connect."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group that links of 0.8 and more over five-word shingles connect.
+
+    Null and empty texts are linked with nothing, as are rows without a ``doc_id``, which stay; rows that share a
+    ``doc_id`` become one; the smallest ``doc_id`` stays, so there are no ties; all columns are kept.
+    """
+    return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Null and empty texts hold none; repeated rows are judged alike; an empty benchmark loses nothing; all columns are kept.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked and ``n_chars`` counted again where it was there."""
+    """All documents, secrets in their texts masked and ``n_chars`` counted again where it was there.
+
+    A null text stays null with a null count, an empty one has 0; repeated rows are masked alike; other columns are kept.
+    """
     redacted = secret_scan.redact(docs)
     if "n_chars" not in docs.columns:
         return redacted
@@ -36,7 +50,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in their sequences."""
+    """Pieces of the documents in their sequences.
+
+    Null and empty texts have the end id alone; long texts are cut; repeated rows are packed each; an empty table gives
+    no rows; other columns are not read.
+    """
     return packing.pack(docs)
 
 
