@@ -44,13 +44,12 @@ class TextEncoder:
     """Text to the little-endian 32-bit ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
     Byte-level BPE merges only inside a piece of the split pattern, so pieces are encoded once and
-    looked up afterwards.  Other tokenizer kinds are called on whole texts.  Strings of special
-    tokens inside a text are ordinary text.
+    looked up afterwards.  Other tokenizer kinds are called on whole texts.  The strings of the file's
+    added tokens inside a text become their ids, as the library does by default.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         split = spec.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -61,6 +60,12 @@ class TextEncoder:
             and split.get("use_regex", True)
             and not split.get("add_prefix_space")
         )
+        added = spec.get("added_tokens") or []
+        # The library cuts a text at these strings before it splits the rest.
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("|".join(map(re.escape, longest_first))) if added else None
+        self.by_piece &= not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip"))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
@@ -107,6 +112,15 @@ class TextEncoder:
             return b""
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.at_added is None:
+            return self._plain(text)
+        out, start = [], 0
+        for found in self.at_added.finditer(text):
+            out += [self._plain(text[start : found.start()]), self.added[found[0]]]
+            start = found.end()
+        return b"".join([*out, self._plain(text[start:])]) if out else self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         known, make = self.chunks.get, self._chunk
         return b"".join([known(c) or make(c) for c in _CHUNK.findall(text)])
 

@@ -9,7 +9,7 @@ hashes of their ids.  Rows of equal shingle minimum (near copies) share one weig
 texts do not make their words look typical.  Each label's rows are weighed up to all labelled documents
 of that label, so the odds of the labels, and with them thresholds and rejections, are those of the whole
 table, whatever part of it the sample holds.  Words and beginnings whose presence differs between
-toxic and other rows by ``MIN_Z`` standard errors become features, ``MAX_FEATURES`` at most.  The labels
+toxic and other rows by ``MIN_Z`` standard errors become features, all of them.  The labels
 say toxic or not; a toxic row is grade 2 if it has more distinct toxic features than the median of
 toxic rows that have any, else 1.  Whole texts are scored.
 
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from rosterloom.session import cut_lineage
 
 MAX_PER_LABEL = 6000
-MAX_FEATURES = 500
 MIN_ROWS = 4.0  # weighted rows that must hold a word
 MIN_Z = 5.0
 PREFIXES = (4, 5, 6, 7)
@@ -101,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LAB
 
 
 def select_features(sample: DataFrame) -> list[tuple[str, float]]:
-    """(word, z) of the words that tell the labels apart, strongest first; bounded by ``MAX_FEATURES``."""
+    """(word, z) of the words that tell the labels apart, strongest first; the bounded sample bounds them."""
     totals = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n"), F.first("stands_for").alias("f")).collect()}
     if len(totals) < 2:
         return []
@@ -117,10 +116,24 @@ def select_features(sample: DataFrame) -> list[tuple[str, float]]:
     p = (f0 * p0 + f1 * p1) / (f0 + f1)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n0 + 1) + 1 / (n1 + 1)))
     strong = counts.filter(F.col("c0") + F.col("c1") >= MIN_ROWS).select("word", z.alias("z")).filter(F.abs("z") >= MIN_Z)
-    return [(r["word"], r["z"]) for r in strong.orderBy(F.desc(F.abs("z")), "word").limit(MAX_FEATURES).collect()]
+    return [(r["word"], r["z"]) for r in strong.orderBy(F.desc(F.abs("z")), "word").collect()]
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+class Presence:
+    """A sparse matrix of zeros and ones by the places of the ones."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.shape = row, column, shape
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.shape[0])
+
+    @property
+    def T(self) -> Presence:  # noqa: N802
+        return Presence(self.column, self.row, self.shape[::-1])
+
+
+def fit_cumulative_link(x: np.ndarray | Presence, grade: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) by penalised maximum likelihood, for grades 0..K that all occur."""
     top = int(grade.max())
     share = np.array([weight[grade <= k].sum() for k in range(top)]) / weight.sum()
@@ -188,19 +201,23 @@ def _minimise(loss, p: np.ndarray, rounds: int = 300, memory: int = 10) -> np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_PER_LABEL) -> OrdinalModel:
-    """The model of the labelled rows; what reaches the driver is bounded by the sample and feature limits."""
+    """The model of the labelled rows; what reaches the driver is bounded by the sample's limit."""
     sample = cut_lineage(labelled_sample(docs, labels, limit))
     features = select_features(sample)
     if not features:
         return OrdinalModel((), (), ())
     vocabulary = [w for w, _ in features]
-    listed = F.array(*map(F.lit, vocabulary))
-    rows = sample.select("toxic", (F.col("weight") * F.col("stands_for")).alias("weight"), F.array_intersect("words", listed).alias("present")).toPandas()
     place = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, present in enumerate(rows["present"]):
-        x[i, [place[w] for w in present]] = 1.0
-    toxic, markers = rows["toxic"].to_numpy() > 0, x[:, [z > 0 for _, z in features]].sum(axis=1)
+
+    @F.pandas_udf("array<int>")
+    def places(words: pd.Series) -> pd.Series:
+        return words.map(lambda held: [place[w] for w in held if w in place])
+
+    rows = sample.select("toxic", (F.col("weight") * F.col("stands_for")).alias("weight"), places("words").alias("present")).toPandas()
+    held = rows["present"].map(len).to_numpy()
+    column = np.concatenate(rows["present"].to_list()).astype(np.int64)
+    x = Presence(np.repeat(np.arange(len(rows)), held), column, (len(rows), len(vocabulary)))
+    toxic, markers = rows["toxic"].to_numpy() > 0, x @ np.array([z > 0 for _, z in features], dtype=float)
     with_any = markers[toxic & (markers > 0)]
     severe = np.median(with_any) if len(with_any) else np.inf
     grade = np.where(toxic, np.where(markers > severe, 2, 1), 0)

@@ -19,7 +19,6 @@ def ascii_lower(text):
 
 
 _TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-_TOKENIZER.encode_special_tokens = True
 
 
 def ids(text):
@@ -64,16 +63,16 @@ def contamination(docs, benchmark):
     return out
 
 
-def shingles(text):
+def shingles(text, n=3):
     words = (text or "").encode().lower().split()
-    if len(words) >= 3:
-        return frozenset(zip(words, words[1:], words[2:]))
+    if len(words) >= n:
+        return frozenset(zip(*(words[k:] for k in range(n))))
     return frozenset([tuple(words)]) if words else frozenset()
 
 
-def jaccard_components(docs, percent=90):
+def jaccard_components(docs, percent=90, n=3):
     """Every pair compared: {doc_id: (size, smallest doc_id reachable)}."""
-    sets = {doc: shingles(text) for doc, text in docs}
+    sets = {doc: shingles(text, n) for doc, text in docs}
     component = {doc: doc for doc in sets}
 
     def root(x):

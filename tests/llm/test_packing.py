@@ -42,7 +42,7 @@ def test_query_covers_every_document(spark, sf_dir, documents):
 
 
 def test_edge_texts(make_docs):
-    texts = ["", None, "one", "word " * 9000, "a b c"]
+    texts = ["", None, "one", "word " * 9000, "a b c", "hello <|endoftext|> world<|endoftext|>"]
     pieces = packing.pack(make_docs(texts)).collect()
     check_pieces(pieces, dict(enumerate(texts)))
 

@@ -29,7 +29,7 @@ def test_stages_keep_the_columns(stages):
 def test_each_stage_against_its_own_input(spark, sf_dir, stages):
     start, clean, single, unleaked, masked, pieces = map(lambda df: df, stages)
     assert 0.6 * start.count() < clean.count() < start.count()
-    components = brute.jaccard_components(rows(clean))
+    components = brute.jaccard_components(rows(clean), percent=80, n=5)
     assert sorted(d for d, _ in rows(single)) == sorted(d for d, (_, c) in components.items() if c == d)
     benchmark = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {r[0] for r in brute.contamination(rows(single), benchmark) if r[5]}
