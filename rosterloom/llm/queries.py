@@ -12,10 +12,13 @@ from rosterloom.llm import (
     decontaminate,
     html_extract,
     jaccard_join,
+    lattice_lm,
+    lexical_search,
     oracles,
     packing,
     quality_rules,
     secret_scan,
+    spelling,
     token_codes,
     token_rollup,
     toxicity,
@@ -133,6 +136,18 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_toxicity,
     op2_secret_scan,
@@ -144,10 +159,14 @@ _ALL = (
     op8_quality_rules,
     op9_token_codes,
     op10_token_rollup,
+    op11_ranked_search,
+    op12_lattice_lm,
+    op13_spelling_variants,
 )
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES = {
     "op3_decontaminate": oracles.DECONTAMINATE,
     "op4_ngram_jaccard_join": oracles.JACCARD_JOIN,
     "op5_chat_format": oracles.CHAT_FORMAT,
+    "op11_ranked_search": oracles.RANKED_SEARCH,
 }
