@@ -12,8 +12,10 @@ and how many spare units, weighing keys against thin segments, whose keys many s
 keys are counted, every set leaves out its most frequent keys as far as its spare units allow: they
 stay in the index, but it does not probe with them.
 
-Equal sets are one class with one representative.  Keys that several classes share become groups; no
-group is expanded into all pairs.  In a few rounds each group's hub is verified against its
+Equal sets are one class with one representative.  First the shingles themselves are counted by buckets of the universe:
+those that no other set holds differ from every partner, so a set with more of them than any difference that is
+allowed is linked with nothing and needs no keys.  This settles most sets for a few bytes per shingle.  Keys that several
+classes share become groups; no group is expanded into all pairs.  In a few rounds each group's hub is verified against its
 members, and components are contracted.  Sets that still share keys across components are indexed
 again with two units wherever possible (wider subsets with one-deletion neighbourhoods, many more keys
 for few sets), and the remaining pairs of different components are enumerated, each at its first
@@ -23,8 +25,8 @@ that is allowed, which settles most sets without any pair.  Every pair is verifi
 (64-bit hashes, as are all shingles here).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words
-than a shingle is one shingle; rows that share a ``doc_id`` are one node, found by the keys of each
-and verified by the set with the smallest hash; a null ``doc_id`` gets a null component; an empty table gives no rows; of other columns none
+than a shingle is one shingle; rows that share a ``doc_id`` are one node, found and verified by
+the set with the smallest hash among them; a null ``doc_id`` gets a null component; an empty table gives no rows; of other columns none
 is read by ``components``, and ``keep_one`` keeps them all.
 """
 
@@ -39,6 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +57,9 @@ HUBS_PER_ROUND = (1, 2, 2)
 LARGE_GROUP = 32  # groups up to this size make pairs, larger ones are verified in cells of two chunks
 CHUNK = 500
 CACHED_WORDS = 400_000
-SEEN_SETS = 500_000
+LOT_SHINGLES = 1 << 21
+LOT_DOCUMENTS = 1 << 16
+BUCKET_LETTERS = 1 << 23  # letters of text per bucket of shingles
 _MASK = (1 << 64) - 1
 
 
@@ -192,39 +197,129 @@ def keys(shingles: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate([whole | parity | one_unit, less | parity]))
 
 
-_SIGNATURES = "doc_id long, set_a long, set_b long, n long, spare_even int, spare_odd int, keys array<long>"
-_SIGNATURE_NAMES = [c.split()[0] for c in _SIGNATURES.split(", ")]
+_LOTS = (
+    "lot long, bucket int, single binary, several binary, places binary, runs binary, "
+    "doc_ids array<long>, set_a array<long>, set_b array<long>, n array<int>, first array<int>"
+)
+_LOT_NAMES = [c.split()[0] for c in _LOTS.split(", ")]
+
+
+class _Lot:
+    """The sets of a task's next documents, equal ones once."""
+
+    def __init__(self):
+        self.doc_ids, self.digests, self.sizes, self.first = [], [], [], []
+        self.met: dict[tuple, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.shingles = 0
+
+    def add(self, doc_id: int | None, shingles: np.ndarray) -> None:
+        digest = tuple(int(_mix(shingles ^ np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
+        place = len(self.doc_ids)
+        first = self.met.setdefault((*digest, len(shingles)), place) if doc_id is not None else place
+        self.doc_ids.append(doc_id)
+        self.digests.append(digest)
+        self.sizes.append(len(shingles))
+        self.first.append(first)
+        self.sets.append(shingles if first == place and doc_id is not None else shingles[:0])
+        self.shingles += len(self.sets[-1])
+
+    def rows(self, lot: int, buckets: int) -> pa.RecordBatch:
+        """A row per bucket of shingles, and one with the documents."""
+        place = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(x) for x in self.sets])
+        flat = _mix(np.concatenate([np.empty(0, np.uint64), *self.sets]) + np.uint64(0xA0761D6478BD642F))
+        _, back, held = np.unique(flat, return_inverse=True, return_counts=True)
+        bucket, short = (flat >> np.uint64(32)) % np.uint64(buckets), flat.astype(np.uint32)
+        out: list[list] = [[] for _ in _LOT_NAMES]
+        several = held[back] > 1 if len(flat) else np.empty(0, bool)
+        # Shingles of several sets are told once; stable sorting keeps the others in order of their places.
+        _, one_each = np.unique(flat[several], return_index=True)
+        shared, shared_bucket = short[several][one_each], bucket[several][one_each]
+        alone, alone_bucket, place = short[~several], bucket[~several], place[~several]
+        order, shared_order = np.argsort(alone_bucket, kind="stable"), np.argsort(shared_bucket, kind="stable")
+        ends = [np.searchsorted(x, np.arange(buckets + 1, dtype=np.uint64)) for x in (alone_bucket[order], shared_bucket[shared_order])]
+        for b in range(buckets):
+            mine, theirs = order[ends[0][b] : ends[0][b + 1]], shared_order[ends[1][b] : ends[1][b + 1]]
+            if len(mine) or len(theirs):
+                places, runs = np.unique(place[mine], return_counts=True)
+                row = (lot, b, alone[mine].tobytes(), shared[theirs].tobytes(), places.tobytes(), runs.astype(np.uint32).tobytes())
+                for column, value in zip(out, (*row, None, None, None, None, None)):
+                    column.append(value)
+        set_a, set_b = zip(*self.digests)
+        for column, value in zip(out, (lot, None, None, None, None, None, self.doc_ids, set_a, set_b, self.sizes, self.first)):
+            column.append(value)
+        types = [pa.int64(), pa.int32()] + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=_LOT_NAMES)
 
 
-def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: its set's digest and size, spare units by parity of the band, and keys.
+def lots(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
+    """Digests and sizes of the sets, and their shingles by buckets of the universe, in lots of bounded size.
 
-    Keys are null for a set that the same task has met before, so copies do not pile up in the index.
+    A task folds what it meets itself: equal sets of a lot are one, and a shingle that several sets of it hold is told once.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        shingler, number, lot = Shingler(words), TaskContext.get().partitionId() << 32, _Lot()
         for batch in batches:
-            out: list[list] = [[] for _ in _SIGNATURE_NAMES]
             for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shingles = shingler(text)
-                digest = [int(_mix(shingles ^ np.uint64(s)).sum(dtype=np.uint64)) for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-                digest = [d - (1 << 64) if d >> 63 else d for d in digest]
-                size, spare, found = len(shingles), [0, 0], None
-                if size:
-                    for band in bands_of(size, percent):
-                        spare[band & 1] = allocation(band, percent)[2]
-                    if document is not None and (*digest, size) not in seen:
-                        if len(seen) >= SEEN_SETS:
-                            seen.clear()
-                        seen.add((*digest, size))
-                        found = np.concatenate([keys(shingles, band, percent) for band in bands_of(size, percent)]).view(np.int64)
-                for column, value in zip(out, (document, *digest, size, *spare, found)):
-                    column.append(value)
-            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=_SIGNATURE_NAMES)
+                lot.add(document, shingler(text))
+                if lot.shingles >= LOT_SHINGLES or len(lot.doc_ids) >= LOT_DOCUMENTS:
+                    yield lot.rows(number, buckets)
+                    number, lot = number + 1, _Lot()
+        if lot.doc_ids:
+            yield lot.rows(number, buckets)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, _LOTS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, _SIGNATURES)
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, kind)
+
+
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, set_a, set_b, n, alone) per row: its set's digest and size, and how many of its shingles no other set holds.
+
+    ``alone`` is never too large: shingles are told apart by their bucket and 32 bits, and equal sets of different
+    lots hold each other's shingles.  It is null for rows whose set stands earlier in their lot.
+    """
+    letters = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    told = cut_lineage(lots(docs, -(-int(letters) // BUCKET_LETTERS) or 1, words))
+
+    def count(rows: pa.Table) -> pa.Table:
+        """Per lot, the places with shingles that no other lot has in this bucket."""
+        lot, single = rows["lot"].to_pylist(), [_numbers(x, np.uint32) for x in rows["single"].to_pylist()]
+        others = [np.unique(np.concatenate([_numbers(x, np.uint32) for x in rows["several"].to_pylist()]))]
+        values, back, held = np.unique(np.concatenate([*single, *others]), return_inverse=True, return_counts=True)
+        lone = held[back] == 1
+        out, start = [], 0
+        for k, mine in enumerate(single):
+            flags = lone[start : start + len(mine)]
+            start += len(mine)
+            places = _numbers(rows["places"][k].as_py(), np.uint16)
+            runs = _numbers(rows["runs"][k].as_py(), np.uint32)
+            if len(runs):
+                counts = np.add.reduceat(flags.astype(np.int32), np.concatenate([[0], np.cumsum(runs[:-1], dtype=np.int64)]))
+                out.append((lot[k], places.tobytes(), counts.astype(np.uint32).tobytes()))
+        names, types = ("lot", "places", "counts"), (pa.int64(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types))})
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        at = np.flatnonzero(np.asarray(rows["doc_ids"].is_valid()))[0]
+        lists = {c: rows[c][int(at)].as_py() for c in ("doc_ids", "set_a", "set_b", "n", "first")}
+        alone = np.zeros(len(lists["n"]), np.int64)
+        for places, counts in zip(rows["places"].to_pylist(), rows["counts"].to_pylist()):
+            if places:
+                alone[_numbers(places, np.uint16)] += _numbers(counts, np.uint32)
+        own = np.array(lists.pop("first")) == np.arange(len(alone))
+        lists["alone"] = pa.array(alone, mask=~own)
+        columns = [("doc_id", lists["doc_ids"]), ("set_a", lists["set_a"]), ("set_b", lists["set_b"]), ("n", lists["n"]), ("alone", lists["alone"])]
+        return pa.table({name: pa.array(value, pa.int64()) for name, value in columns})
+
+    counted = told.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(count, "lot long, places binary, counts binary")
+    heads = told.filter("bucket IS NULL").select("lot", "doc_ids", "set_a", "set_b", "n", "first")
+    none = lambda names, like: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
+    both = counted.select("*", *none(heads.columns[1:], heads)).unionByName(heads.select("*", *none(("places", "counts"), counted)))
+    return both.groupBy("lot").applyInArrow(add_up, "doc_id long, set_a long, set_b long, n long, alone long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -242,26 +337,46 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """(doc_id, rep, n, spares): equal sets share the smallest doc_id among them."""
+    """(doc_id, rep): equal sets share the smallest doc_id among them."""
     sets = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # Only sets that occur more than once need the join; rows of a large class are split by Spark.
     shared = sets.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    return sets.drop("keys").join(shared, ["set_a", "set_b", "n"], "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "spare_even", "spare_odd"
-    )
+    return sets.join(shared, ["set_a", "set_b", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
 
-def _shared_keys(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, node, n, probe, degree): keys of at least two classes, one of which probes with it."""
-    entries = signed.filter("keys IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
-    several = entries.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    several = cut_lineage(entries.join(several, "key"))
-    named = several.join(classes, "doc_id").groupBy("key", F.col("rep").alias("node")).agg(
-        F.first("n").alias("n"), F.first("spare_even").alias("spare_even"), F.first("spare_odd").alias("spare_odd")
-    )
-    named = cut_lineage(named)
-    counts = named.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    listed = named.join(counts, "key")
+def _candidates(signed: DataFrame, percent: int) -> DataFrame:
+    """(doc_id) of one document per class that can have a partner: not too many of its shingles are held by no other set."""
+    sets = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("alone").alias("alone"))
+    return sets.filter(F.col("alone") * percent <= (100 - percent) * F.col("n")).select("doc_id").distinct()
+
+
+_KEYED = "node long, n long, spare_even int, spare_odd int, keys array<long>"
+
+
+def set_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, n, spare_even, spare_odd, keys) of sets (node, shingles): keys, and spare units by parity of the band."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for shingles in batch.column(1):
+                found, spare = np.asarray(shingles.values).view(np.uint64), [0, 0]
+                for band in bands_of(len(found), percent):
+                    spare[band & 1] = allocation(band, percent)[2]
+                made = np.concatenate([keys(found, band, percent) for band in bands_of(len(found), percent)]).view(np.int64)
+                for column, value in zip(out, (len(found), *spare, made)):
+                    column.append(value)
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types)]], names=["node", "n", "spare_even", "spare_odd", "keys"])
+
+    return sets.select("node", "shingles").mapInArrow(work, _KEYED)
+
+
+def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, probe, degree): keys of at least two sets."""
+    entries = cut_lineage(set_keys(sets, percent)).select("node", "n", "spare_even", "spare_odd", F.explode("keys").alias("key"))
+    counts = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    listed = cut_lineage(entries.join(counts, "key"))
     odd = F.col("key").bitwiseAND(F.lit(2).cast("long")) != 0
     one_unit = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
     # A node's keys are as many as its segments, so these windows are small.
@@ -445,13 +560,13 @@ def _relabel(rows: DataFrame, moved: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
-    signed = cut_lineage(signatures(docs, words, percent))
+    signed = cut_lineage(signatures(docs, words))
     classes = cut_lineage(_classes(signed))
-    active = cut_lineage(_open_groups(_shared_keys(signed, classes).withColumn("comp", F.col("node"))))
-    nodes = active.select("node").distinct()
-    labels = cut_lineage(nodes.withColumn("comp", F.col("node")))
-    sets = cut_lineage(shingle_sets(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words)
+    candidates = cut_lineage(_candidates(signed, percent))
+    sets = cut_lineage(shingle_sets(docs.join(candidates, "doc_id", "left_semi"), words).filter(F.size("shingles") > 0)
         .groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
+    active = cut_lineage(_open_groups(_shared_keys(sets, percent).withColumn("comp", F.col("node"))))
+    labels = cut_lineage(active.select("node").distinct().withColumn("comp", F.col("node")))
     apart = None
     for turn, hubs in enumerate((*HUBS_PER_ROUND, 0)):
         if active.isEmpty():
@@ -484,8 +599,11 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     placed = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("comp", "rep")).alias("component_id")
     )
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    # Rows without an id are kept out of the join, where they would all meet in one task.
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"))
+    joined = rows.filter("doc_id IS NOT NULL").join(placed, "doc_id", "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
+        rows.filter("doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     )
 
 

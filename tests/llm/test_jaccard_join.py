@@ -50,6 +50,33 @@ def test_random_families_against_all_pairs(make_docs):
     assert as_dict(components(make_docs(texts, 5).selectExpr("*", "1 as n", "2 as key"))) == brute.jaccard_components(list(enumerate(texts)))
 
 
+def test_five_words_and_four_fifths(make_docs):
+    rng = random.Random(17)
+    texts = ["", None, "one", "a b c d e", "a b c d e", "a b c d"]
+    for size in (6, 9, 15, 30, 60, 120, 500):
+        for _ in range(3):
+            base = [f"w{rng.randrange(300)}" for _ in range(size)]
+            texts += [" ".join(edited(rng, base, rng.randrange(0, 1 + size // 25))) for _ in range(6)]
+    got = as_dict(components(make_docs(texts, 5), words=5, percent=80))
+    assert got == brute.jaccard_components(list(enumerate(texts)), percent=80, n=5)
+
+
+def test_shingles_that_others_lack(make_docs, monkeypatch):
+    """Counted exactly, over several lots and buckets; equal sets of a lot are counted with the first."""
+    monkeypatch.setattr(jaccard_join, "LOT_SHINGLES", 40)
+    monkeypatch.setattr(jaccard_join, "BUCKET_LETTERS", 300)
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    rows = jaccard_join.signatures(make_docs(texts)).collect()
+    sets = [brute.shingles(t) for t in texts]
+    assert sorted(r["doc_id"] for r in rows) == list(range(60))
+    for r in rows:
+        mine = sets[r["doc_id"]]
+        assert r["n"] == len(mine)
+        lone = sum(not any(s in other for i, other in enumerate(sets) if i != r["doc_id"]) for s in mine)
+        assert r["alone"] in (None, lone) and (r["alone"] is not None or sets.count(mine) > 1 or not mine)
+
+
 def test_large_group_of_near_copies_and_chains(make_docs):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
@@ -110,13 +137,14 @@ def test_copies_null_ids_and_empty_tables(make_docs):
     assert sorted((r["doc_id"], r["text"]) for r in repeated.collect()) == [(2, "a b c"), (3, "")]
 
 
-def test_band_limits():
-    edges = band_edges(5000)
+@pytest.mark.parametrize("percent", [90, 80])
+def test_band_limits(percent):
+    edges = band_edges(3000)
     for band in range(len(edges) - 3):
         low, high = edges[band], edges[band + 1] - 1
-        assert largest_partner(high) < edges[band + 2]
-        narrow, wide, spare = allocation(band)
-        worst = max(max_difference(x, y) for x in range(low, high + 1) for y in range(x, largest_partner(x) + 1))
+        assert largest_partner(high, percent) < edges[band + 2]
+        narrow, wide, spare = allocation(band, percent)
+        worst = max(max_difference(x, y, percent) for x in range(low, high + 1) for y in {*range(x, min(x + 50, largest_partner(x, percent) + 1)), *range(max(x, largest_partner(x, percent) - 50), largest_partner(x, percent) + 1)})
         assert worst <= 0 or narrow + 2 * wide - spare > worst
 
 
