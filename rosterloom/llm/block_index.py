@@ -25,6 +25,9 @@ DOCS_PER_BLOCK = 1 << _BITS
 TOKENS_PER_BLOCK = 1 << 22
 PIECE = 1 << 20  # bytes of a text that are split at once
 
+BLOCK_SCHEMA = (
+    "block long, terms array<string>, gathered array<long>, ends array<int>, places array<int>, counts array<int>, ids array<long>, lengths array<long>"
+)
 INDEX_SCHEMA = "block long, term string, places array<int>, counts array<int>, gathered long, ids array<long>"
 
 
@@ -93,16 +96,38 @@ class _Block:
             keys, counts = keys[first], np.add.reduceat(counts, first)
         self.keys, self.counts, self.raw, self.n_raw = keys, counts, [], 0
 
-    def rows(self, block: int, gathers: Callable[[int | None], bool]) -> pa.RecordBatch:
-        """One row per term, and one without a term: all documents with their lengths and ids."""
+    def _lists(self, gathers: Callable[[int | None], bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets of the terms' lists, places, gathered per term, which documents gather)"""
         self._fold()
-        n, size = len(self.numbers), len(self.ids)
         number, place = self.keys >> _BITS, self.keys & (DOCS_PER_BLOCK - 1)
-        offsets = np.searchsorted(number, np.arange(n + 1))
+        offsets = np.searchsorted(number, np.arange(len(self.numbers) + 1))
         flags = np.array([gathers(d) for d in self.ids], dtype=np.int64)
-        gathered = np.zeros(n, np.int64)
-        if n:
-            gathered = np.add.reduceat(self.counts * flags[place], offsets[:-1])
+        gathered = np.add.reduceat(self.counts * flags[place], offsets[:-1]) if len(self.numbers) else np.zeros(0, np.int64)
+        return offsets, place, gathered, flags
+
+    def whole(self, block: int, gathers: Callable[[int | None], bool]) -> pa.RecordBatch:
+        """One row of ``BLOCK_SCHEMA``."""
+        offsets, place, gathered, _ = self._lists(gathers)
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        terms = pa.ListArray.from_arrays(pa.array([0, len(self.numbers)], pa.int32()), pa.array([*self.numbers], pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                terms,
+                one(gathered, pa.int64()),
+                one(offsets[1:].astype(np.int32), pa.int32()),
+                one(place.astype(np.int32), pa.int32()),
+                one(self.counts.astype(np.int32), pa.int32()),
+                one(self.ids, pa.int64()),
+                one(self.lengths, pa.int64()),
+            ],
+            names=["block", "terms", "gathered", "ends", "places", "counts", "ids", "lengths"],
+        )
+
+    def rows(self, block: int, gathers: Callable[[int | None], bool]) -> pa.RecordBatch:
+        """One row per term, and one without a term: all documents with their lengths and ids."""
+        offsets, place, gathered, flags = self._lists(gathers)
+        n, size = len(self.numbers), len(self.ids)
         whole = np.concatenate([offsets, [offsets[-1] + size]])
         ids = pa.array([None] * n + [self.ids], pa.list_(pa.int64()))
         terms = pa.array([*self.numbers, None], pa.binary()).cast(pa.string())
@@ -123,24 +148,32 @@ def every(doc_id: int | None) -> bool:
     return True
 
 
-def block_index(docs: DataFrame, table: bytes, gathers: Callable[[int | None], bool] = every) -> DataFrame:
-    """Rows of ``INDEX_SCHEMA`` for docs (doc_id, text); to be written before use, as blocks are numbered by task.
-
-    ``gathered`` counts what the documents hold for which ``gathers`` is true.  The row of a block without a term has
-    the lengths of its documents as ``counts``, their ``ids``, and how many of them gather.
-    """
-
+def _blocks(
+    docs: DataFrame, table: bytes, gathers: Callable[[int | None], bool], told: Callable[[_Block, int, Callable], pa.RecordBatch], schema: str, tokens: int
+) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 block.add(doc_id, (raw or b"").translate(table))
-                if len(block.ids) >= DOCS_PER_BLOCK or block.tokens >= TOKENS_PER_BLOCK:
-                    yield block.rows(number, gathers)
+                if len(block.ids) >= DOCS_PER_BLOCK or block.tokens >= tokens:
+                    yield told(block, number, gathers)
                     number, block = number + 1, _Block()
         if block.ids:
-            yield block.rows(number, gathers)
+            yield told(block, number, gathers)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, schema)
+
+
+def block_index(docs: DataFrame, table: bytes, gathers: Callable[[int | None], bool] = every) -> DataFrame:
+    """Rows of ``INDEX_SCHEMA`` for docs (doc_id, text); to be written before use, as blocks are numbered by task.
+
+    ``gathered`` counts what the documents hold for which ``gathers`` is true.  The row of a block without a term has
+    the lengths of its documents as ``counts``, their ``ids``, and how many of them gather.
+    """
+    return _blocks(docs, table, gathers, _Block.rows, INDEX_SCHEMA, TOKENS_PER_BLOCK)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
-        work, INDEX_SCHEMA
-    )
+def whole_blocks(docs: DataFrame, table: bytes, gathers: Callable[[int | None], bool] = every, tokens: int = TOKENS_PER_BLOCK // 2) -> DataFrame:
+    """The same as one row of ``BLOCK_SCHEMA`` per block, whose lists are told one after another and end at ``ends``."""
+    return _blocks(docs, table, gathers, _Block.whole, BLOCK_SCHEMA, tokens)
