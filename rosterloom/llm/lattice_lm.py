@@ -12,8 +12,8 @@ The vocabulary's own scores give the first weights (``prior``: its scores are ra
 training documents revise them: expected uses of the pieces, by forward and backward recursions over each distinct
 training word, are summed by Spark; only the sums per piece of the fixed vocabulary come to the driver.
 
-Texts are read once into blocks of documents with their words (``block_index``).  Counts, model and lattice are worked out
-once per distinct word and brought to the blocks by a join; documents are summed within their block.
+Texts are read once into blocks of documents with their words (``block_index``).  Words are counted over all blocks, the
+model is fitted on each distinct word once, and documents are scored and summed within their block.
 
 Defined cases: null and empty texts have the end alone; a document without doc_id is a training document (its id
 as text is empty); repeated rows count and are scored each; without training documents all counts are 0 and the prior alone
@@ -30,7 +30,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.llm.block_index import byte_table, whole_blocks
@@ -233,9 +233,15 @@ class Lattices:
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(term, n): uses of each distinct word in the training documents, also of words that only others hold."""
-    told = blocks.select(F.explode(F.arrays_zip("terms", "gathered")).alias("t"))
-    return told.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.gathered").alias("n"))
+    """(block, pos, term, n, first): for each word of a block its uses in all training documents; ``first`` once per distinct word.
+
+    A word has as many rows as blocks hold it, so a window over them is short, and counts need no join back to the blocks.
+    """
+    told = blocks.select("block", F.posexplode(F.arrays_zip("terms", "gathered")).alias("pos", "t"))
+    of_word = Window.partitionBy("term")
+    return told.select("block", "pos", F.col("t.terms").alias("term"), F.col("t.gathered").alias("gathered")).select(
+        "block", "pos", "term", F.sum("gathered").over(of_word).alias("n"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first")
+    )
 
 
 def _expected(words: DataFrame, log_p: np.ndarray, name: str) -> np.ndarray:
@@ -285,25 +291,14 @@ def fit(words: DataFrame, n_docs: int, rounds: int = ROUNDS, name: str = PIECES_
     return np.log(p)
 
 
-def _scored_words(words: DataFrame, log_p: np.ndarray, name: str) -> DataFrame:
-    """(term, n, log10_p) of every distinct word."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(name)
-        for terms, times in _steps(batches):
-            value = Lattices(terms, known).forward(log_p) / _LOG10
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(times.astype(np.int64)), pa.array(value)], names=["term", "n", "log10_p"])
-
-    return words.select("term", "n").mapInArrow(work, "term string, n long, log10_p double")
-
-
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS, name: str = PIECES_32K) -> DataFrame:
     """Rows of ``_SCORES``: whole texts of docs (doc_id, text), scored by what the training documents among them hold."""
     blocks = cut_lineage(whole_blocks(docs, WORD_BYTES, trains))
-    words = cut_lineage(word_counts(blocks))
+    counted = cut_lineage(word_counts(blocks))
+    words = counted.filter("first").select("term", "n")
     in_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     training = F.udf(lambda ids: sum(map(trains, ids)), "long")
     ends = int(blocks.agg(F.coalesce(F.sum(training("ids")), F.lit(0))).first()[0])
@@ -314,12 +309,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS, name: str = PIECES_32K) -> Data
 
     def sums(block: pa.Table, values: pa.Table) -> pa.Table:
         part = {c: block[c].combine_chunks().flatten() for c in ("terms", "ends", "places", "counts", "ids", "lengths")}
-        n, value = np.zeros(len(part["terms"]), np.int64), np.zeros(len(part["terms"]))
-        at = values["pos"].to_numpy()
-        n[at], value[at] = values["n"].to_numpy(), values["log10_p"].to_numpy()
+        terms, n = part["terms"].to_pylist(), np.zeros(len(part["terms"]), np.int64)
+        n[values["pos"].to_numpy()] = values["n"].to_numpy()
+        lots = [terms[i : i + WORDS_PER_STEP] for i in range(0, len(terms), WORDS_PER_STEP)]
+        value = np.concatenate([np.empty(0), *[Lattices(lot, vocabulary(name)).forward(log_p) for lot in lots]]) / _LOG10
         row = np.repeat(np.arange(len(n)), np.diff(part["ends"].to_numpy(), prepend=0))
         # Sums are taken in the order of the words, so that equal texts get equal sums in every block.
-        order = np.argsort(np.argsort(np.asarray(part["terms"], dtype=object)))[row].argsort(kind="stable") if len(n) else row
+        order = np.argsort(np.argsort(np.array(terms, dtype=object)))[row].argsort(kind="stable") if len(n) else row
         row, places, times = row[order], part["places"].to_numpy()[order], part["counts"].to_numpy().astype(np.int64)[order]
         size = len(part["ids"])
         by_doc = lambda w: np.bincount(places, weights=times * w[row], minlength=size)
@@ -335,8 +331,6 @@ def score(docs: DataFrame, rounds: int = ROUNDS, name: str = PIECES_32K) -> Data
             }
         )
 
-    valued = cut_lineage(_scored_words(words, log_p, name))
-    # Only words and their places travel to their values and back; the lists stay with their block.
-    places = blocks.select("block", F.posexplode("terms").alias("pos", "term"))
-    values = places.join(valued, "term").select(F.col("block").alias("of_block"), "pos", "n", "log10_p")
+    # Only counts travel to the blocks; a word's lattice is worked out where the word stands.
+    values = counted.select(F.col("block").alias("of_block"), "pos", "n")
     return blocks.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(sums, _SCORES)
