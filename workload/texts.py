@@ -133,21 +133,40 @@ def _refs(spark, sf):
 
 
 def _texts(spark, sf):
-    """A requirement text per order, built from its first and last part; the shape follows the order."""
-    ends = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
-    refs = _refs(spark, sf)
-    first = refs.selectExpr("p_partkey as a", "subject as s1", "number as n1")
-    last = refs.selectExpr("p_partkey as b", "subject as s2", "number as n2")
-    joined = table(spark, sf, "orders").join(ends, F.col("o_orderkey") == F.col("l_orderkey")).join(first, "a").join(last, "b")
-    one, two = "s1, ' ', n1", "s2, ' ', n2"
-    return joined.selectExpr(
-        "o_orderkey as rule_id",
-        f"""case when o_orderstatus = 'P' then concat('Declared in program, ', {one}, ', ', {two}, ', or ', n1)
-            when o_orderpriority = '1-URGENT' then concat({one}, '  or ', n2)
-            when o_orderpriority = '2-HIGH' then concat('(', {one}, ' or ', {two}, ') and (', {one}, ' or ', n2, ')')
-            when o_orderpriority = '3-MEDIUM' then concat({one}, ' and consent of instructor')
-            when o_orderpriority = '4-NOT SPECIFIED' then concat('((', {one}, ' or ', n2, ') and ', {two}, ') OR graduate/professional standing')
-            else concat(s1, '/', s2, ' ', n2) end as text""",
+    """A requirement text per order from all its parts in line order: one of eight bodies in one of five frames.
+
+    Bodies: alternatives, all of them, bare numbers, pairs of alternatives, a comma list, nested alternatives, slash families, and
+    alternatives of pairs.  Frames: none, with consent, or standing, after a declaration, or standing with consent.
+    """
+    lines = table(spark, sf, "lineitem").join(_refs(spark, sf), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "subject", "number"))).alias("r")
+    )
+    joined = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(
+        "o_orderkey as rule_id", "cast(o_orderkey % 8 as int) as body", "cast(substr(o_orderpriority, 1, 1) as int) as frame", "r",
+        "cast(ceil(size(r) / 2) as int) as m",
+    )
+    one = "concat(x.subject, ' ', x.number)"
+    items = joined.selectExpr(
+        "*",
+        f"""case when body = 2 then transform(r, (x, i) -> if(i = 0, {one}, x.number))
+            when body = 6 then transform(sequence(0, m - 1), i -> if(2 * i + 1 < size(r),
+              concat(get(r, 2 * i).subject, '/', get(r, 2 * i + 1).subject, ' ', get(r, 2 * i + 1).number), concat(get(r, 2 * i).subject, ' ', get(r, 2 * i).number)))
+            else transform(r, x -> {one}) end as items""",
+    )
+    pairs = "array_join(transform(sequence(0, m - 1), i -> concat('(', get(items, 2 * i), coalesce(concat(' {0} ', get(items, 2 * i + 1)), ''), ')')), ' {1} ')"
+    bodies = items.selectExpr(
+        "rule_id", "frame",
+        f"""case when body in (0, 2) then array_join(items, ' or ')
+            when body in (1, 6) then array_join(items, ' and ')
+            when body = 3 then {pairs.format('or', 'and')}
+            when body = 7 then {pairs.format('and', 'or')}
+            when body = 4 then array_join(transform(items, (x, i) -> concat(case when i = 0 then '' when i = size(items) - 1 then ', or ' else ', ' end, x)), '')
+            else concat(array_join(items, ' or ('), repeat(')', size(items) - 1)) end as x""",
+    )
+    return bodies.selectExpr(
+        "rule_id",
+        """case frame when 1 then x when 2 then concat('(', x, ') and consent of instructor') when 3 then concat('(', x, ') or graduate/professional standing')
+           when 4 then concat('Declared in program, (', x, ')') else concat('(', x, ')  or (graduate/professional standing and consent of instructor)') end as text""",
     )
 
 
@@ -253,14 +272,44 @@ _TIERED = f"""WITH {_C}, {_SCORED},
     coalesce(has_any_open_seats, 0) DESC, coalesce(section_count, 0) DESC, course_designation) rank FROM rp WHERE rk = 1)
   SELECT query_id, rank, course_id, course_designation FROM fi WHERE rank <= {{limit}}"""
 
-_T = """e AS (SELECT l_orderkey, min(l_partkey) a, max(l_partkey) b FROM lineitem GROUP BY 1),
-  rf AS (SELECT p_partkey, 'BRAND ' || translate(substr(p_brand, 7), '0123456789', 'ABCDEFGHIJ') s, CAST(100 + p_partkey % 900 AS VARCHAR) n FROM part),
-  t AS (SELECT o_orderkey rule_id, x.s s1, x.n n1, y.s s2, y.n n2, x.s || ' ' || x.n one, y.s || ' ' || y.n two, x.s || ' ' || y.n short,
-    CASE WHEN o_orderstatus = 'P' THEN 6 ELSE CAST(substr(o_orderpriority, 1, 1) AS INT) END sh
-    FROM orders JOIN e ON l_orderkey = o_orderkey JOIN rf x ON x.p_partkey = a JOIN rf y ON y.p_partkey = b)"""
-
-_GROUPS = f"""{_T}, gr AS (SELECT rule_id, sh, CASE sh WHEN 1 THEN [[one, short]] WHEN 2 THEN [[one, two], [one, short]] WHEN 3 THEN [[one]]
-    WHEN 4 THEN [[one, short], [two]] WHEN 5 THEN CASE WHEN s1 <> s2 THEN [[s1 || ' ' || n2, two]] ELSE [] END ELSE [] END g, s1, s2 FROM t)"""
+# The parse is worked out from how a text is put together: what its body is worth, and what the frame makes of it.
+_T = """rf AS (SELECT p_partkey, 'BRAND ' || translate(substr(p_brand, 7), '0123456789', 'ABCDEFGHIJ') s, CAST(100 + p_partkey % 900 AS VARCHAR) n FROM part),
+  ls AS (SELECT l_orderkey, list({'s': s, 'n': n} ORDER BY l_linenumber, l_partkey) r FROM lineitem JOIN rf ON p_partkey = l_partkey GROUP BY 1),
+  t0 AS (SELECT o_orderkey rule_id, CAST(o_orderkey % 8 AS INT) body, CAST(substr(o_orderpriority, 1, 1) AS INT) frame, r, len(r) k, CAST(ceil(len(r) / 2) AS INT) m
+    FROM orders JOIN ls ON l_orderkey = o_orderkey),
+  -- One entry per item of the text: what is written, the placeholder, the courses, how they are found, and the nodes it makes.
+  t1 AS (SELECT *, CASE WHEN body = 2 THEN list_transform(r, lambda x, i: {'w': CASE WHEN i = 1 THEN x.s || ' ' || x.n ELSE x.n END, 'h': '[COURSE]', 'c': [r[1].s || ' ' || x.n],
+        'f': CASE WHEN i = 1 THEN 'course' ELSE 'shorthand' END})
+      WHEN body = 6 THEN list_transform(range(m), lambda i: CASE WHEN 2 * i + 2 > k THEN {'w': r[2 * i + 1].s || ' ' || r[2 * i + 1].n, 'h': '[COURSE]', 'c': [r[2 * i + 1].s || ' ' || r[2 * i + 1].n], 'f': 'course'}
+        WHEN r[2 * i + 1].s = r[2 * i + 2].s THEN {'w': r[2 * i + 1].s || '/' || r[2 * i + 2].s || ' ' || r[2 * i + 2].n, 'h': r[2 * i + 1].s || '/' || r[2 * i + 2].s || ' ' || r[2 * i + 2].n,
+          'c': CAST([] AS VARCHAR[]), 'f': 'none'}
+        ELSE {'w': r[2 * i + 1].s || '/' || r[2 * i + 2].s || ' ' || r[2 * i + 2].n, 'h': '[COURSE]/[COURSE]', 'c': [r[2 * i + 1].s || ' ' || r[2 * i + 2].n, r[2 * i + 2].s || ' ' || r[2 * i + 2].n], 'f': 'slash'} END)
+      ELSE list_transform(r, lambda x: {'w': x.s || ' ' || x.n, 'h': '[COURSE]', 'c': [x.s || ' ' || x.n], 'f': 'course'}) END it FROM t0),
+  t2 AS (SELECT *, len(it) z, list_transform(it, lambda x: x.h) hs, list_transform(it, lambda x: x.w) ws, list_transform(it, lambda x: x.c) cs, len(list_filter(it, lambda x: x.f = 'none')) bad,
+      CAST(list_sum(list_transform(it, lambda x: greatest(len(x.c), 1))) AS INT) anchors FROM t1),
+  t3 AS (SELECT *, body IN (3, 7) AND m > 1 nested,
+      -- What the body is worth: its groups (none where it is opaque), operators by kind, edges, and the anchors that a frame sees.
+      CASE WHEN bad > 0 OR body = 7 AND m > 1 THEN CAST([] AS VARCHAR[][]) WHEN body = 3 THEN list_transform(range(m), lambda i: flatten(cs[2 * i + 1 : 2 * i + 2]))
+        WHEN body IN (1, 6, 7) THEN cs ELSE [flatten(cs)] END g,
+      CASE WHEN z = 1 THEN 0 WHEN body IN (0, 2) THEN 1 WHEN body = 3 THEN k // 2 WHEN body = 7 AND m > 1 THEN 1 WHEN body = 5 THEN k - 1 ELSE 0 END ors,
+      CASE WHEN z = 1 THEN 0 WHEN body IN (1, 6) THEN 1 WHEN body = 3 AND m > 1 THEN 1 WHEN body = 7 THEN k // 2 ELSE 0 END ands,
+      CASE WHEN z = 1 THEN 0 WHEN body IN (0, 1, 2) THEN k WHEN body = 6 THEN anchors WHEN body = 5 THEN 2 * (k - 1) ELSE CASE WHEN m > 1 THEN m ELSE 0 END + 2 * (k // 2) END edges,
+      CASE WHEN z = 1 THEN anchors ELSE 1 END top, body <> 4 OR z = 1 plain FROM t2),
+  fr AS (SELECT * FROM (VALUES (1, '', '', '', 0, 0, 0, 0, 0), (2, '(', ') and consent of instructor', ') and consent of instructor', 0, 1, 1, 0, 1),
+      (3, '(', ') or graduate/professional standing', ') or [STANDING]', 1, 0, 1, 1, 0), (4, 'Declared in program, (', ')', ')', 0, 0, 0, 0, 0),
+      (5, '(', ') or (graduate/professional standing and consent of instructor)', ') or ([STANDING] and consent of instructor)', 1, 1, 3, 1, 1))
+    x(frame, pre, post, hpost, fors, fands, fedges, standing, consent)),
+  t4 AS (SELECT *, CASE WHEN body IN (0, 2) THEN array_to_string(hs, ' or ') WHEN body IN (1, 6) THEN array_to_string(hs, ' and ')
+      WHEN body = 3 THEN array_to_string(list_transform(range(m), lambda i: '(' || array_to_string(hs[2 * i + 1 : 2 * i + 2], ' or ') || ')'), ' and ')
+      WHEN body = 7 THEN array_to_string(list_transform(range(m), lambda i: '(' || array_to_string(hs[2 * i + 1 : 2 * i + 2], ' and ') || ')'), ' or ')
+      WHEN body = 4 THEN array_to_string(hs[1 : z - 1], ', ') || CASE WHEN z > 1 THEN ', or ' ELSE '' END || hs[z]
+      ELSE array_to_string(hs, ' or (') || repeat(')', z - 1) END skeleton, CAST(list_sum(list_transform(it, lambda x: len(x.c))) AS INT) refs FROM t3),
+  t AS (SELECT *, frame <> 4 AND plain AND refs > 0 tree, len(g) > 0 AND frame <> 4 shown FROM t4 JOIN fr USING (frame))"""
+
+_GROUPS = f"""{_T}, gr AS (SELECT rule_id, frame, shown, CASE WHEN shown THEN g ELSE CAST([] AS VARCHAR[][]) END g FROM t)"""
+
+_STATUS = "CASE WHEN refs + standing = 0 THEN 'unparsed' WHEN tree AND bad = 0 AND frame = 1 THEN 'parsed' ELSE 'partial' END"
+_SUMMARY = "CASE WHEN NOT shown THEN 'opaque' WHEN frame = 1 THEN 'structured' ELSE 'partial' END"
 
 ORACLES = {
     "search_corpus": f"""WITH {_C} SELECT term_code, course_id, course_designation canonical_course_designation, alias alias_course_designation,
@@ -302,28 +351,18 @@ ORACLES = {
         ma AS (SELECT query_id, doc_id, round(sum(s), 6) score FROM sc JOIN qt USING (qtoken) GROUP BY 1, 2 HAVING count(*) = min(wanted))
         SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM ma) WHERE rank <= 10""",
     "topic_by_course": f"""WITH {_C}, {_SCORED} SELECT query_id, course_id, round(max(score), 6) score FROM ma GROUP BY 1, 2""",
-    "ref_extract": f"""WITH {_T}, r AS (
-        SELECT rule_id, unnest(CASE sh WHEN 1 THEN [(one, 'course'), (short, 'shorthand')] WHEN 2 THEN [(one, 'course'), (two, 'course'), (one, 'course'), (short, 'shorthand')]
-          WHEN 3 THEN [(one, 'course')] WHEN 4 THEN [(one, 'course'), (short, 'shorthand'), (two, 'course')]
-          WHEN 5 THEN CASE WHEN s1 <> s2 THEN [(s1 || ' ' || n2, 'slash'), (two, 'slash')] ELSE [] END
-          ELSE [(one, 'course'), (two, 'course'), (s2 || ' ' || n1, 'shorthand')] END) x FROM t)
-        SELECT rule_id, x[1] course, x[2] found_as, count(*) n FROM r GROUP BY 1, 2, 3""",
-    "requirement_groups": f"""WITH {_GROUPS} SELECT rule_id, CASE WHEN len(g) = 0 THEN 'opaque' WHEN sh IN (3, 4) THEN 'partial' ELSE 'structured' END summary_status,
+    "ref_extract": f"""WITH {_T}, u AS (SELECT rule_id, unnest(it) x FROM t), c AS (SELECT rule_id, unnest(x.c) course, x.f found_as FROM u)
+        SELECT rule_id, course, found_as, count(*) n FROM c GROUP BY 1, 2, 3""",
+    "requirement_groups": f"""WITH {_GROUPS} SELECT rule_id, {_SUMMARY} summary_status,
         CASE WHEN len(g) = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(g, lambda x: '["' || array_to_string(x, '","') || '"]'), ',') || ']' END course_groups,
-        CASE WHEN sh = 4 THEN '["graduate/professional standing"]' ELSE '[]' END escape_clauses FROM gr""",
-    "requirement_trees": f"""WITH {_T} SELECT rule_id,
-        CASE WHEN sh IN (1, 2) OR (sh = 5 AND s1 <> s2) THEN 'parsed' WHEN sh = 5 THEN 'unparsed' ELSE 'partial' END parse_status,
-        CASE WHEN sh IN (1, 2) OR (sh = 5 AND s1 <> s2) THEN 1.0 WHEN sh = 5 THEN 0.0 ELSE 0.5 END::DOUBLE parse_confidence,
-        CASE sh WHEN 3 THEN '[COURSE] and consent of instructor' WHEN 4 THEN '(([COURSE] or [COURSE]) and [COURSE]) OR [STANDING]'
-          WHEN 6 THEN 'Declared in program, [COURSE], [COURSE], or [COURSE]' WHEN 5 THEN CASE WHEN s1 = s2 THEN s1 || '/' || s2 || ' ' || n2 END END unparsed_text,
-        CASE sh WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 0 END operators, CASE sh WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 0 END edges
-        FROM t""",
-    "requirement_node_rows": f"""WITH {_T}, n AS (SELECT unnest(CASE sh WHEN 1 THEN ['OR', 'COURSE', 'COURSE'] WHEN 2 THEN ['AND', 'OR', 'OR', 'COURSE', 'COURSE', 'COURSE', 'COURSE']
-          WHEN 3 THEN ['AND', 'COURSE', 'CONSENT'] WHEN 4 THEN ['OR', 'AND', 'OR', 'COURSE', 'COURSE', 'COURSE', 'STANDING']
-          WHEN 5 THEN CASE WHEN s1 <> s2 THEN ['COURSE', 'COURSE'] ELSE [] END ELSE ['COURSE', 'COURSE', 'COURSE'] END) node_type FROM t)
-        SELECT node_type, count(*) nodes, count(*) ids FROM n GROUP BY 1""",
-    "requirement_status_counts": f"""WITH {_T} SELECT CASE WHEN sh IN (1, 2) OR (sh = 5 AND s1 <> s2) THEN 'parsed' WHEN sh = 5 THEN 'unparsed' ELSE 'partial' END parse_status,
-        CASE WHEN sh IN (1, 2) OR (sh = 5 AND s1 <> s2) THEN 'structured' WHEN sh IN (3, 4) THEN 'partial' ELSE 'opaque' END summary_status, count(*) rules FROM t GROUP BY 1, 2""",
+        CASE WHEN NOT shown THEN '[]' WHEN frame = 3 THEN '["graduate/professional standing"]' WHEN frame = 5 THEN '["graduate/professional standing and consent of instructor"]' ELSE '[]' END escape_clauses FROM gr""",
+    "requirement_trees": f"""WITH {_T} SELECT rule_id, {_STATUS} parse_status, CASE {_STATUS} WHEN 'parsed' THEN 1.0 WHEN 'unparsed' THEN 0.0 ELSE 0.5 END::DOUBLE parse_confidence,
+        CASE WHEN {_STATUS} = 'parsed' THEN NULL WHEN {_STATUS} = 'unparsed' THEN pre || skeleton || post ELSE pre || skeleton || hpost END unparsed_text,
+        CASE WHEN tree THEN ors + ands + fors + fands ELSE 0 END operators, CASE WHEN tree THEN edges + fedges + CASE WHEN frame IN (2, 3, 5) THEN top ELSE 0 END ELSE 0 END edges FROM t""",
+    "requirement_node_rows": f"""WITH {_T}, n AS (SELECT unnest([('AND', CASE WHEN tree THEN ands + fands ELSE 0 END), ('OR', CASE WHEN tree THEN ors + fors ELSE 0 END), ('COURSE', refs), ('STANDING', standing),
+          ('CONSENT', CASE WHEN tree THEN consent ELSE 0 END), ('TEXT', CASE WHEN tree THEN bad ELSE 0 END)]) x FROM t)
+        SELECT x[1] node_type, CAST(sum(x[2]) AS BIGINT) nodes, CAST(sum(x[2]) AS BIGINT) ids FROM n GROUP BY 1 HAVING sum(x[2]) > 0""",
+    "requirement_status_counts": f"""WITH {_T} SELECT {_STATUS} parse_status, {_SUMMARY} summary_status, count(*) rules FROM t GROUP BY 1, 2""",
     "requirement_satisfied": f"""WITH {_GROUPS}, o AS (SELECT rule_id, len(g) w, unnest(range(len(g))) i, unnest(g) opts FROM gr WHERE len(g) > 0),
         op AS (SELECT DISTINCT rule_id, w, i, unnest(opts) course FROM o),
         b AS (SELECT DISTINCT o_custkey person, s || ' ' || n course FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN rf ON p_partkey = l_partkey),
