@@ -1,8 +1,10 @@
 """Ranked text search for a table of queries over a posting list.
 
-A query token is first resolved against the vocabulary (the distinct tokens, far smaller than
-the text) and only then joined to the postings by equality, so neither prefix nor substring
-search ever compares query tokens with documents pairwise.
+A row counts its own tokens, so the index is made without a shuffle; it is written once and can be passed to any number of
+searches.  A query token is first resolved against the vocabulary (the distinct tokens, far smaller than
+the text) by equality: of prefixes that are as long as some query token, or of the rarest gram of a token that is looked
+for inside words.  Only then it is joined to the postings, by equality again, so no query token is ever compared with a
+document or with a bucket of words.
 """
 
 from __future__ import annotations
@@ -12,10 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.functions.text import compact_designation, search_text, search_tokens
+from rosterloom.functions.text import compact_designation, let, search_text, search_tokens
 from rosterloom.operators.versions import top_per_key
 from rosterloom.session import cut_lineage
-from rosterloom.skew import salted_join
 
 DEFAULT_LIMIT = 24
 MAX_LIMIT = 50
@@ -23,10 +24,19 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 
 
+GRAM = 3  # letters of the grams that find words containing a query token
+
+
 def clamp_limit(limit: int | None, default: int = DEFAULT_LIMIT, low: int = 1, high: int = MAX_LIMIT) -> int:
+    """A result limit within bounds; none and 0 mean the default."""
     return default if not limit else max(low, min(high, int(limit)))
 
 
+def clamped(limit: Column, default: int = DEFAULT_LIMIT, low: int = 1, high: int = MAX_LIMIT) -> Column:
+    """``clamp_limit`` of a column."""
+    return F.when(F.coalesce(limit, F.lit(0)) == 0, default).otherwise(F.greatest(F.least(limit, F.lit(high)), F.lit(low)))
+
+
 def build_corpus(aliases: DataFrame, courses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Alias rows with their course text and the normalised forms used for ranking.
 
@@ -48,10 +58,33 @@ def build_corpus(aliases: DataFrame, courses: DataFrame, keys: Sequence[str]) ->
     )
 
 
+def counted_tokens(tokens: Column) -> Column:
+    """array<struct<token, tf>> of an array of tokens: sorted, equal ones stand together."""
+
+    def runs(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        return let(
+            starts,
+            lambda at: F.transform(
+                at, lambda i, k: F.struct(F.get(sorted_, i).alias("token"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("tf"))
+            ),
+        )
+
+    none = F.array().cast("array<struct<token:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(none)
+
+
 def postings(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """(row, token, tf) over all searchable text of a row; the whole text is indexed."""
+    """(row, token, tf, len, lead) over all searchable text of a row; ``lead`` marks one posting per row.
+
+    Rows are told apart by ``row``; ``len`` is the number of a row's tokens.
+    """
     everything = F.flatten(F.array(*[search_tokens(F.col(t)) for t in texts]))
-    return docs.select(*row, F.explode(everything).alias("token")).groupBy(*row, "token").agg(F.count("*").alias("tf"))
+    counted = docs.select(*row, let(everything, lambda ts: F.struct(F.size(ts).cast("long").alias("len"), counted_tokens(ts).alias("terms"))).alias("_t"))
+    # An inner explode would add a filter on its size, which counts the tokens again.
+    listed = counted.select(*row, F.col("_t.len").alias("len"), F.posexplode_outer("_t.terms").alias("_at", "_p")).filter("_at IS NOT NULL")
+    return listed.select(*row, "_p.token", "_p.tf", "len", (F.col("_at") == 0).alias("lead"))
 
 
 def build_index(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> DataFrame:
@@ -59,51 +92,68 @@ def build_index(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> Da
     return cut_lineage(postings(docs, row, texts))
 
 
+CORPUS_TEXTS = ("alias_course_designation", "alias_compact", "title", "description")
+
+
+def corpus_index(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The index of a course corpus, one row per alias; to be passed to ``search`` and ``topic_search``."""
+    return build_index(corpus, [*keys, "alias_course_designation"], CORPUS_TEXTS)
+
+
 def query_tokens(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, qtoken, wanted): distinct tokens with their number; queries without tokens vanish."""
     tokens = F.array_distinct(search_tokens(F.col(text)))
     return queries.select(query, F.explode(tokens).alias("qtoken"), F.size(tokens).alias("wanted"))
 
 
-def _bucketed(words: DataFrame, piece: Column) -> DataFrame:
-    # One-letter query tokens meet the 1-letter bucket, longer ones the 2-letter bucket.
-    return words.select("token", piece.alias("piece")).withColumn(
-        "bucket", F.explode(F.array_distinct(F.array(F.substring("piece", 1, 1), F.substring("piece", 1, 2))))
-    )
-
-
 def expand_tokens(tokens: DataFrame, words: DataFrame, substring: bool = False) -> DataFrame:
     """(qtoken, token): vocabulary words starting with, or containing, a query token."""
-    wanted = tokens.select("qtoken").distinct().withColumn("bucket", F.substring("qtoken", 1, 2))
+    wanted = tokens.select("qtoken").distinct()
     vocabulary = words.select("token").distinct()
-    # No query token is longer than this, so longer pieces of a word can be cut without loss.
-    longest = tokens.agg(F.coalesce(F.max(F.char_length("qtoken")), F.lit(1)).alias("n")).scalar()
-    if substring:
-        # A word contains the token exactly when one of its suffixes starts with it.
-        starts = F.explode(F.sequence(F.lit(1), F.char_length("token")))
-        tails = vocabulary.select("token", starts.alias("at")).select("token", F.substring("token", F.col("at"), longest).alias("tail"))
-        pieces = _bucketed(tails.distinct(), F.col("tail"))
-    else:
-        pieces = _bucketed(vocabulary, F.col("token"))
-    # Query tokens are the small side: Spark broadcasts them by size, or AQE splits a hot bucket.
-    hits = pieces.join(wanted, "bucket")
-    return hits.filter(F.col("piece").startswith(F.col("qtoken"))).select("qtoken", "token").distinct()
+    size = F.least(F.char_length("qtoken"), F.lit(GRAM)) if substring else F.char_length("qtoken")
+    lengths = _lengths(wanted, size)
+    if not substring:
+        fitting = F.filter(lengths, lambda n: n <= F.char_length("token"))
+        keyed = vocabulary.select("token", F.explode_outer(F.transform(fitting, lambda n: F.substring("token", F.lit(1), n))).alias("qtoken"))
+        return keyed.join(wanted, "qtoken").select("qtoken", "token")
+    grams = _grams(vocabulary, "token", lengths)
+    # The rarest gram of a query token; a word that lacks it does not contain the token.
+    asked = _grams(wanted, "qtoken", F.array(size))
+    held = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(held, "gram", "left").groupBy("qtoken").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_r"))
+    found = rarest.select("qtoken", F.col("_r.gram").alias("gram")).join(grams, "gram")
+    return found.filter(F.contains("token", "qtoken")).select("qtoken", "token")
+
+
+def _lengths(words: DataFrame, size: Column) -> Column:
+    """The lengths that occur, a few numbers however many words there are."""
+    return F.array(*[F.lit(r[0]) for r in words.select(size.alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+
+
+def _grams(words: DataFrame, word: str, lengths: Column) -> DataFrame:
+    """(word, gram): the distinct pieces of these lengths."""
+
+    def of_length(n: Column) -> Column:
+        starts = F.when(F.char_length(word) >= n, F.sequence(F.lit(1), F.char_length(word) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(word, i, n))
+
+    return words.select(word, F.explode_outer(F.array_distinct(F.flatten(F.transform(lengths, of_length)))).alias("gram")).filter("gram IS NOT NULL")
 
 
 def token_hits(posts: DataFrame, expansions: DataFrame, row: Sequence[str]) -> DataFrame:
-    """(row, qtoken, tf): rows holding any word a query token stands for.
+    """(row, qtoken, tf, len): rows holding any word a query token stands for.
 
     A frequent word is a skewed key of the postings only: AQE splits it when the other side is
     too large to broadcast.
     """
     found = posts.join(expansions, "token")
-    return found.groupBy(*row, "qtoken").agg(F.sum("tf").alias("tf"))
+    return found.groupBy(*row, "qtoken").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
 
 
 def all_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], query: str = "query_id") -> DataFrame:
     """(query, row, score inputs) for rows matching every token of a query."""
     joined = hits.join(tokens, "qtoken")
-    carried = [c for c in hits.columns if c not in (*row, "qtoken")]
+    carried = [c for c in hits.columns if c not in (*row, "qtoken", "tf", "len")]
     return (
         joined.groupBy(query, *row)
         .agg(F.count("*").alias("_got"), F.first("wanted").alias("_wanted"), *[F.sum(c).alias(c) for c in carried])
@@ -112,19 +162,31 @@ def all_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], qu
     )
 
 
+def any_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], query: str = "query_id") -> DataFrame:
+    """(query, row, score) for rows matching some token of a query."""
+    return hits.join(tokens.select(query, "qtoken"), "qtoken").groupBy(query, *row).agg(F.sum("score").alias("score"))
+
+
 def bm25_hits(posts: DataFrame, hits: DataFrame, row: Sequence[str]) -> DataFrame:
-    """Token hits with a BM25 term score; document frequency and lengths are aggregates."""
-    lengths = posts.groupBy(*row).agg(F.sum("tf").alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    """Token hits with a BM25 term score; the postings know their row's length."""
+    corpus = posts.filter("lead").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     # One-row subqueries, inlined as constants.
     n, avg_len = corpus.select("n").scalar(), corpus.select("avg_len").scalar()
     df = hits.groupBy("qtoken").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "qtoken").join(lengths, list(row))
+    scored = hits.join(df, "qtoken")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / avg_len)
     return scored.select(*row, "qtoken", (idf * F.col("tf") * (BM25_K1 + 1) / norm).alias("score"))
 
 
+def ranked_topics(queries: DataFrame, posts: DataFrame, row: Sequence[str], best: int) -> DataFrame:
+    """(query_id, row, score, rank): the best rows per topic by the sum of the scores of its tokens, some of which may be missing."""
+    tokens = query_tokens(queries)
+    hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
+    scored = any_token_matches(tokens, bm25_hits(posts, hits, row), row).withColumn("score", F.round("score", 6))
+    return top_per_key(scored, ["query_id"], [F.col("score").desc(), *[F.col(c) for c in row]], best, rank="rank")
+
+
 def _match_signals(matches: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Best score and exact / prefix flags per (query, course)."""
     q = queries.select("query_id", search_text(F.col("text")).alias("q"), compact_designation(F.col("text")).alias("qc"))
@@ -171,15 +233,18 @@ def _representatives(matched: DataFrame, lead: Sequence[Column]) -> DataFrame:
     return top_per_key(matched, ["query_id", "course_designation"], order)
 
 
-def _final(rows: DataFrame, lead: Sequence[Column], limit: int) -> DataFrame:
-    """Final order: signals, then open seats before section count."""
+def _final(rows: DataFrame, lead: Sequence[Column], limit: int | None, queries: DataFrame) -> DataFrame:
+    """Final order: signals, then open seats before section count; a query's own ``result_limit`` goes before ``limit``."""
     order = [
         *lead,
         _zero("has_any_open_seats").desc(),
         _zero("section_count").desc(),
         F.col("course_designation").asc(),
     ]
-    return top_per_key(rows, ["query_id"], order, limit, rank="rank")
+    if "result_limit" not in queries.columns:
+        return top_per_key(rows, ["query_id"], order, clamp_limit(limit), rank="rank")
+    own = queries.select("query_id", clamped(F.coalesce("result_limit", F.lit(limit).cast("int"))).alias("_limit"))
+    return top_per_key(rows, ["query_id"], order, MAX_LIMIT, rank="rank").join(own, "query_id").filter("rank <= _limit").drop("_limit")
 
 
 def _subject_filter(df: DataFrame, queries: DataFrame) -> DataFrame:
@@ -190,19 +255,27 @@ def _subject_filter(df: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, corpus: DataFrame, overview: DataFrame, keys: Sequence[str] = ("term_code", "course_id"), limit: int | None = None
+    queries: DataFrame,
+    corpus: DataFrame,
+    overview: DataFrame,
+    keys: Sequence[str] = ("term_code", "course_id"),
+    limit: int | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Indexed search: every token must prefix-match, results ranked by match tier, then BM25."""
+    """Indexed search: every token must prefix-match, results ranked by match tier, then BM25.
+
+    ``queries(query_id, text)``, and ``subject`` and ``result_limit`` where they differ by query.
+    """
     row = [*keys, "alias_course_designation"]
-    posts = build_index(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
+    posts = corpus_index(corpus, keys) if index is None else index
     tokens = query_tokens(queries)
-    hits = token_hits(posts, expand_tokens(tokens, posts), row)
+    hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
     matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
     texts = corpus.select(*row, "alias_normalized", "alias_compact", "title_normalized")
     signals = _match_signals(matches.join(texts, row), queries, list(keys))
     lead = [*[F.col(s).desc() for s in _SIGNALS], F.round("best_score", 6).desc()]
     found = _subject_filter(signals.join(overview, list(keys)), queries)
-    return _final(_representatives(found, lead), lead, clamp_limit(limit))
+    return _final(_representatives(found, lead), lead, limit, queries)
 
 
 def search_without_index(
@@ -236,30 +309,45 @@ def search_without_index(
         for s in ("exact_alias_match", "compact_alias_match", "prefix_alias_match", "exact_title_match", "prefix_title_match")
     ]
     found = _subject_filter(signals.join(overview, list(keys)), queries)
-    return _final(_representatives(found, lead), lead, clamp_limit(limit))
+    return _final(_representatives(found, lead), lead, limit, queries)
 
 
 def browse(subjects: DataFrame, overview: DataFrame, limit: int | None = None) -> DataFrame:
     """Courses whose designation starts with a subject, per ``subjects(query_id, subject)``.
 
-    Joined on the first two characters, so subjects are not compared with every course.
+    Joined on the beginnings of designations that are as long as some subject.
     """
     wanted = subjects.select("query_id", F.upper(F.trim("subject")).alias("_subject")).filter("_subject <> ''")
-    keyed = wanted.withColumn("_bucket", F.substring("_subject", 1, 2))
+    lengths = _lengths(wanted, F.char_length("_subject"))
     upper = F.upper("course_designation")
-    buckets = F.array_distinct(F.array(F.substring(upper, 1, 1), F.substring(upper, 1, 2)))
-    # Many courses share a bucket: the course side is the one to salt.
-    courses = overview.withColumn("_bucket", F.explode(buckets))
-    found = salted_join(courses, keyed, ["_bucket"], salt_by=["course_id"]).filter(upper.startswith(F.col("_subject")))
-    return _final(_representatives(found.drop("_bucket", "_subject"), []), [], clamp_limit(limit))
+    fitting = F.filter(lengths, lambda n: n <= F.char_length("course_designation"))
+    courses = overview.withColumn("_subject", F.explode_outer(F.transform(fitting, lambda n: F.substring(upper, F.lit(1), n))))
+    found = courses.join(wanted, "_subject")
+    return _final(_representatives(found.drop("_subject"), []), [], limit, subjects)
+
+
+def answer(
+    queries: DataFrame, corpus: DataFrame, overview: DataFrame, keys: Sequence[str] = ("term_code", "course_id"), index: DataFrame | None = None
+) -> DataFrame:
+    """Every row of ``queries(query_id, text, subject, result_limit)`` by its kind, with ``answered_by``.
+
+    A text with tokens is searched, within the subject if there is one; without tokens the subject is browsed; a row with
+    neither has no results.
+    """
+    has_tokens = F.size(search_tokens(F.coalesce("text", F.lit("")))) > 0
+    has_subject = F.trim(F.coalesce("subject", F.lit(""))) != ""
+    shown = lambda df, kind: df.select("query_id", "rank", *keys, "course_designation", F.lit(kind).alias("answered_by"))
+    found = search(queries.filter(has_tokens), corpus, overview, keys, index=index)
+    listed = browse(queries.filter(~has_tokens & has_subject).drop("text"), overview)
+    return shown(found, "search").unionByName(shown(listed, "subject"))
 
 
-def topic_search(queries: DataFrame, corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
+def topic_search(queries: DataFrame, corpus: DataFrame, keys: Sequence[str], index: DataFrame | None = None) -> DataFrame:
     """Best score per (query, course), one row per course however many aliases match."""
     row = [*keys, "alias_course_designation"]
-    posts = build_index(corpus, row, ["alias_course_designation", "alias_compact", "title", "description"])
+    posts = corpus_index(corpus, keys) if index is None else index
     tokens = query_tokens(queries)
-    hits = token_hits(posts, expand_tokens(tokens, posts), row)
+    hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
     matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
     return matches.groupBy("query_id", *keys).agg(F.max("score").alias("score"))
 

@@ -106,14 +106,21 @@ def _topic_queries(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    """Ten best documents per topic over their whole text."""
+    """Ten best documents per topic over their whole text, by the scores of the topic's tokens that they hold."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    posts = se.build_index(docs, ["doc_id"], ["text"])
-    tokens = se.query_tokens(_topic_queries(spark, sf))
-    hits = se.token_hits(posts, se.expand_tokens(tokens, posts), ["doc_id"])
-    scored = se.all_token_matches(tokens, se.bm25_hits(posts, hits, ["doc_id"]), ["doc_id"])
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return top_per_key(rounded, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 10, rank="rank")
+    return se.ranked_topics(_topic_queries(spark, sf), se.build_index(docs, ["doc_id"], ["text"]), ["doc_id"], 10)
+
+
+def search_routed(spark, sf):
+    """Texts, subjects and empty rows by one entry point, each with a limit of its own."""
+    p = _courses(spark, sf)
+    kinds = p.selectExpr(
+        "concat('q', course_id) as query_id",
+        "case cast(course_id as bigint) % 4 when 0 then substr(title, 1, 4) when 1 then '?!' when 2 then substr(other, 1, 7) end as text",
+        "case when p_size > 25 then lower(substr(course_designation, 1, 3 + p_size % 3)) end as subject",
+        "cast(p_size % 5 * 15 as int) as result_limit",
+    )
+    return se.answer(kinds, _corpus(spark, sf), _overview(spark, sf)).select(*_SHOWN, "answered_by")
 
 
 def topic_by_course(spark, sf):
@@ -230,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         search_corpus, search_prefix_and, search_tiered, search_with_subject, search_fallback, semi_exists_tokens, browse_prefix,
-        bm25_topk, topic_by_course, ref_extract, requirement_groups, requirement_trees, requirement_node_rows,
+        bm25_topk, search_routed, topic_by_course, ref_extract, requirement_groups, requirement_trees, requirement_node_rows,
         requirement_status_counts, requirement_satisfied, leaf_kinds,
     ]
 }
@@ -311,7 +318,20 @@ _GROUPS = f"""{_T}, gr AS (SELECT rule_id, frame, shown, CASE WHEN shown THEN g
 _STATUS = "CASE WHEN refs + standing = 0 THEN 'unparsed' WHEN tree AND bad = 0 AND frame = 1 THEN 'parsed' ELSE 'partial' END"
 _SUMMARY = "CASE WHEN NOT shown THEN 'opaque' WHEN frame = 1 THEN 'structured' ELSE 'partial' END"
 
+# The same search with texts, subjects and limits by query.
+_ROUTED_Q = """q0 AS (SELECT 'q' || course_id query_id, CASE CAST(course_id AS BIGINT) % 4 WHEN 0 THEN substr(title, 1, 4) WHEN 1 THEN '?!' WHEN 2 THEN substr(other, 1, 7) END x,
+    CASE WHEN p_size > 25 THEN lower(substr(course_designation, 1, 3 + p_size % 3)) END subject, CASE WHEN p_size % 5 = 0 THEN 24 ELSE least(p_size % 5 * 15, 50) END lim FROM c),
+  qn AS (SELECT query_id, array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ') n, list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')) ts FROM q0 WHERE len(regexp_extract_all(lower(x), '[a-z0-9]+')) > 0)"""
+_ROUTED = _TIERED.replace(_C[_C.index("q AS (SELECT DISTINCT t"):_C.index("qc AS (")], _ROUTED_Q + ",\n  ").replace(
+    "{where}", "JOIN (SELECT query_id qi, subject sb FROM q0) z ON z.qi = sg.query_id WHERE starts_with(upper(ov.course_designation), upper(trim(coalesce(z.sb, ''))))"
+).replace("SELECT query_id, rank, course_id, course_designation FROM fi WHERE rank <= {limit}", """SELECT fi.query_id, rank, course_id, course_designation, 'search' answered_by FROM fi JOIN q0 ON q0.query_id = fi.query_id WHERE rank <= lim
+  UNION ALL SELECT query_id, rank, course_id, course_designation, 'subject' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(has_any_open_seats, 0) DESC, coalesce(section_count, 0) DESC, course_designation) rank
+    FROM (SELECT q0.query_id, q0.lim, ov.*, row_number() OVER (PARTITION BY q0.query_id, course_designation ORDER BY coalesce(section_count, 0) DESC, coalesce(has_any_open_seats, 0) DESC,
+      coalesce(has_any_full_section, 0) DESC, title, course_id) rk FROM q0 JOIN ov ON starts_with(upper(course_designation), upper(trim(subject)))
+      WHERE trim(subject) <> '' AND q0.query_id NOT IN (SELECT query_id FROM qn)) WHERE rk = 1) WHERE rank <= lim""")
+
 ORACLES = {
+    "search_routed": _ROUTED,
     "search_corpus": f"""WITH {_C} SELECT term_code, course_id, course_designation canonical_course_designation, alias alias_course_designation,
         an alias_normalized, ac alias_compact, title, tn title_normalized, description FROM co""",
     "search_prefix_and": f"""WITH {_C}, {_SCORED} SELECT query_id, course_id, alias alias_course_designation, round(score, 6) score FROM ma""",
@@ -348,7 +368,7 @@ ORACLES = {
         df AS (SELECT qtoken, count(*) df FROM hi GROUP BY 1),
         sc AS (SELECT doc_id, qtoken, ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) s
           FROM hi JOIN df USING (qtoken) JOIN ln USING (doc_id), st),
-        ma AS (SELECT query_id, doc_id, round(sum(s), 6) score FROM sc JOIN qt USING (qtoken) GROUP BY 1, 2 HAVING count(*) = min(wanted))
+        ma AS (SELECT query_id, doc_id, round(sum(s), 6) score FROM sc JOIN qt USING (qtoken) GROUP BY 1, 2)
         SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM ma) WHERE rank <= 10""",
     "topic_by_course": f"""WITH {_C}, {_SCORED} SELECT query_id, course_id, round(max(score), 6) score FROM ma GROUP BY 1, 2""",
     "ref_extract": f"""WITH {_T}, u AS (SELECT rule_id, unnest(it) x FROM t), c AS (SELECT rule_id, unnest(x.c) course, x.f found_as FROM u)

@@ -300,7 +300,7 @@ def rule_views(spark, sf):
         "concat_ws(':', 'rule', term_code, course_id) as rule_id", "term_code", "course_id",
         "case when subject_code = 'BUILDING' then 'parsed' else 'partial' end as parse_status", "0.5D as parse_confidence",
         "description as raw_text", "title as unparsed_text",
-    ).filter("unparsed_text <> 'Studies 7'")
+    )
     summaries = rules.selectExpr(
         "rule_id", "term_code", "course_id", "'opaque' as summary_status", "'[]' as course_groups_json", "'[]' as escape_clauses_json"
     )
@@ -542,7 +542,7 @@ ORACLES = {
         UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size <= 10)""",
     "rule_views": oracle(
         """SELECT 'rule:' || term_code || ':' || course_id rule_id, course_designation, CASE WHEN subject_code = 'BUILDING' THEN 'parsed' ELSE 'partial' END parse_status, v AS "view"
-        FROM courses, (SELECT unnest(['rule', 'summary']) v) WHERE title <> 'Studies 7'"""
+        FROM courses, (SELECT unnest(['rule', 'summary']) v)"""
     ),
     "snapshot_completeness": oracle(
         """SELECT o_orderkey l_orderkey, coalesce(n, 0) collected, CAST(o_orderkey % 7 + 1 AS BIGINT) reported,
