@@ -198,7 +198,7 @@ def keys(shingles: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
 
 
 _LOTS = (
-    "lot long, bucket int, single binary, several binary, places binary, runs binary, "
+    "lot long, part long, single binary, several binary, places binary, runs binary, "
     "doc_ids array<long>, set_a array<long>, set_b array<long>, n array<int>, first array<int>"
 )
 _LOT_NAMES = [c.split()[0] for c in _LOTS.split(", ")]
@@ -225,7 +225,7 @@ class _Lot:
         self.shingles += len(self.sets[-1])
 
     def rows(self, lot: int, buckets: int) -> pa.RecordBatch:
-        """A row per bucket of shingles, and one with the documents."""
+        """A row per bucket of shingles, and one with the documents, whose part is a number of its own below 0."""
         place = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(x) for x in self.sets])
         flat = _mix(np.concatenate([np.empty(0, np.uint64), *self.sets]) + np.uint64(0xA0761D6478BD642F))
         _, back, held = np.unique(flat, return_inverse=True, return_counts=True)
@@ -246,9 +246,9 @@ class _Lot:
                 for column, value in zip(out, (*row, None, None, None, None, None)):
                     column.append(value)
         set_a, set_b = zip(*self.digests)
-        for column, value in zip(out, (lot, None, None, None, None, None, self.doc_ids, set_a, set_b, self.sizes, self.first)):
+        for column, value in zip(out, (lot, -1 - lot, None, None, None, None, self.doc_ids, set_a, set_b, self.sizes, self.first)):
             column.append(value)
-        types = [pa.int64(), pa.int32()] + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())] * 2
+        types = [pa.int64()] * 2 + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=_LOT_NAMES)
 
 
@@ -283,10 +283,15 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lots hold each other's shingles.  It is null for rows whose set stands earlier in their lot.
     """
     letters = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    told = cut_lineage(lots(docs, -(-int(letters) // BUCKET_LETTERS) or 1, words))
+    told = lots(docs, -(-int(letters) // BUCKET_LETTERS) or 1, words)
+    heads = ["doc_ids", "set_a", "set_b", "n", "first"]
+    counted = f"lot long, places binary, counts binary, {_LOTS[_LOTS.index('doc_ids') :]}"
 
     def count(rows: pa.Table) -> pa.Table:
-        """Per lot, the places with shingles that no other lot has in this bucket."""
+        """Per lot, the places with shingles that no other lot has in this bucket; the documents of a lot pass."""
+        if rows["doc_ids"].null_count < rows.num_rows:
+            nothing = pa.nulls(rows.num_rows, pa.binary())
+            return pa.table({"lot": rows["lot"], "places": nothing, "counts": nothing, **{c: rows[c] for c in heads}})
         lot, single = rows["lot"].to_pylist(), [_numbers(x, np.uint32) for x in rows["single"].to_pylist()]
         others = [np.unique(np.concatenate([_numbers(x, np.uint32) for x in rows["several"].to_pylist()]))]
         values, back, held = np.unique(np.concatenate([*single, *others]), return_inverse=True, return_counts=True)
@@ -301,7 +306,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 counts = np.add.reduceat(flags.astype(np.int32), np.concatenate([[0], np.cumsum(runs[:-1], dtype=np.int64)]))
                 out.append((lot[k], places.tobytes(), counts.astype(np.uint32).tobytes()))
         names, types = ("lot", "places", "counts"), (pa.int64(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types))})
+        found = {n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types))}
+        return pa.table({**found, **{c: pa.nulls(len(out), rows.schema.field(c).type) for c in heads}})
 
     def add_up(rows: pa.Table) -> pa.Table:
         at = np.flatnonzero(np.asarray(rows["doc_ids"].is_valid()))[0]
@@ -315,11 +321,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
         columns = [("doc_id", lists["doc_ids"]), ("set_a", lists["set_a"]), ("set_b", lists["set_b"]), ("n", lists["n"]), ("alone", lists["alone"])]
         return pa.table({name: pa.array(value, pa.int64()) for name, value in columns})
 
-    counted = told.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(count, "lot long, places binary, counts binary")
-    heads = told.filter("bucket IS NULL").select("lot", "doc_ids", "set_a", "set_b", "n", "first")
-    none = lambda names, like: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
-    both = counted.select("*", *none(heads.columns[1:], heads)).unionByName(heads.select("*", *none(("places", "counts"), counted)))
-    return both.groupBy("lot").applyInArrow(add_up, "doc_id long, set_a long, set_b long, n long, alone long")
+    # The shingles are shuffled once, and nothing but counts after that.
+    return told.groupBy("part").applyInArrow(count, counted).groupBy("lot").applyInArrow(add_up, "doc_id long, set_a long, set_b long, n long, alone long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
