@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,12 +95,20 @@ def synthetic_id(seed: Column) -> Column:
     return -(fnv1a_32(seed) + 1)
 
 
-def defined_leaves(*leaves: Column) -> Column:
-    """How many of the given leaves are set; part of the version-priority tie-break."""
-    total = F.lit(0)
-    for leaf in leaves:
-        total = total + leaf.isNotNull().cast("int")
-    return total
+def defined_values(x: Column, kind: DataType) -> Column:
+    """How many values a nested column holds: leaves that are set, and one more for each list or object that is not empty.
+
+    Nulls, empty lists and objects without a set field count 0.  Part of the version-priority tie-break.
+    """
+    if isinstance(kind, StructType):
+        inner = reduce(lambda a, b: a + b, [defined_values(x[f.name], f.dataType) for f in kind.fields], F.lit(0))
+        return F.when(x.isNull(), 0).otherwise(let(inner, lambda n: n + (n > 0).cast("int")))
+    if isinstance(kind, MapType):
+        return defined_values(F.map_values(x), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        items = F.transform(x, lambda item: defined_values(item, kind.elementType))
+        return F.when(x.isNull(), 0).otherwise(F.aggregate(items, (F.size(x) > 0).cast("int"), lambda n, m: n + m))
+    return x.isNotNull().cast("int")
 
 
 def _all_strings(items: Column) -> Column:

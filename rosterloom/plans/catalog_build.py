@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterloom.functions.availability import full_flag, positive_flag, truthy_flag
-from rosterloom.functions.text import composite_key, key_part, squeeze
-from rosterloom.operators import identity, merging, requirements, rollups, search, versions
+from rosterloom.functions.text import composite_key, defined_values, key_part, squeeze
+from rosterloom.operators import identity, merging, quality, requirements, rollups, search, versions
 from rosterloom.plans import read_models as rm
 from rosterloom.session import cut_lineage
 from rosterloom.sources import catalog, snapshots
@@ -18,7 +18,7 @@ _STAGES = ["by_number", "by_identity", "by_type", "by_session"]
 def _version_rank(records: DataFrame) -> DataFrame:
     """Copies of a package ranked: newest, then the one with more values, then by canonical text."""
     text = F.to_json("package")
-    filled = F.regexp_count(text, F.lit(r'":(?!\[\]|\{\})'))
+    filled = defined_values(F.col("package"), records.schema["package"].dataType)
     order = [F.col("package.lastUpdated").desc_nulls_last(), filled.desc(), text.desc(), F.col("entry_index"), F.col("package_index")]
     return records.withColumn("version", F.row_number().over(Window.partitionBy("package_id").orderBy(*order)))
 
@@ -130,8 +130,12 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
     meeting_table = cut_lineage(_meeting_table(best_meetings.join(numbers, ["package_id", "section_index"])))
 
     # Courses: catalog rows, then those only the packages know.
+    # The first catalog row of a course is the first one in the files, whatever tasks read it.
+    if catalog.PLACE not in courses.columns:
+        courses = cut_lineage(courses.withColumn(catalog.PLACE, catalog.place_in_input(F.lit(""), F.lit(0))))
     all_courses = merging.append_missing(courses, _as_catalog(catalog.synthesized_courses(records), courses), ["termCode", "courseId"])
-    positioned = cut_lineage(all_courses.withColumn("_position", F.monotonically_increasing_id()))
+    late = all_courses.withColumn("_late", F.col(catalog.PLACE).isNull())
+    positioned = cut_lineage(versions.dense_ids(late, ["_late", catalog.PLACE, "termCode", "courseId"], "_position").drop("_late", catalog.PLACE))
     course_table = versions.first_wins(positioned, ["termCode", "courseId"], [F.col("_position")])
     course_rows = cut_lineage(catalog.course_rows(course_table))
     listings = cut_lineage(_cross_listings(positioned, catalog.entry_courses(records), course_rows))
@@ -175,11 +179,32 @@ def build_catalog(courses: DataFrame, package_snapshot: DataFrame, refreshed_at:
         "section_instructors": section_instructors,
         **requirements.rule_tables(course_rows),
     }
+    quality.require_clean(constraints(tables))
     described = cut_lineage(_described(records, course_table, numbered))
     tables["course_search"] = search.build_corpus(listings, course_rows, rm.COURSE_KEY)
     return {**tables, **derive_read_models(tables, described)}
 
 
+def constraints(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Violations of the keys and references of the base tables, by name; a load that has any is rejected."""
+    section = ["package_id", "section_class_number"]
+    keys = {
+        "courses": rm.COURSE_KEY, "packages": ["package_id"], "sections": section, "meetings": [*section, "meeting_index"],
+        "buildings": ["building_code"], "instructors": ["instructor_key"], "section_instructors": [*section, "instructor_key"],
+        "course_cross_listings": [*rm.COURSE_KEY, "course_designation"], "prerequisite_rules": ["rule_id"],
+    }
+    references = [
+        ("course_cross_listings", "courses", rm.COURSE_KEY), ("sections", "packages", ["package_id"]), ("meetings", "sections", section),
+        ("section_instructors", "sections", section), ("section_instructors", "instructors", ["instructor_key"]),
+        ("prerequisite_rules", "courses", rm.COURSE_KEY),
+    ]
+    checks = {f"{name}: repeated key": quality.duplicate_keys(tables[name], key) for name, key in keys.items()}
+    checks["course_cross_listings: more than one primary"] = quality.surplus_primaries(tables["course_cross_listings"], rm.COURSE_KEY, "is_primary")
+    for child, parent, on in references:
+        checks[f"{child}: unknown {parent}"] = quality.orphans(tables[child], tables[parent], {c: c for c in on})
+    return checks
+
+
 def derive_read_models(tables: dict[str, DataFrame], described: DataFrame) -> dict[str, DataFrame]:
     sections_v = cut_lineage(rm.section_overview(tables["sections"], tables["packages"], tables["courses"]))
     canonical = rm.canonical_sections(sections_v, tables["courses"])
@@ -295,7 +320,8 @@ def _as_catalog(synth: DataFrame, courses: DataFrame) -> DataFrame:
         F.col("subject.description").alias("description"),
         F.lit(None).cast("array<string>").alias("footnotes"),
     )
-    return synth.withColumn("subject", subject).withColumn("lastUpdated", F.lit(None).cast("bigint")).select(*courses.columns)
+    shaped = synth.withColumn("subject", subject).withColumn("lastUpdated", F.lit(None).cast("bigint"))
+    return shaped.withColumn(catalog.PLACE, F.lit(None).cast(courses.schema[catalog.PLACE].dataType)).select(*courses.columns)
 
 
 def _cross_listings(positioned: DataFrame, entries: DataFrame, course_rows: DataFrame) -> DataFrame:

@@ -12,7 +12,16 @@ from rosterloom.sources import schemas
 
 def read_courses(spark: SparkSession, path: str) -> DataFrame:
     """Catalog snapshot: a JSON array, or one course per line (splittable, the form to use at scale)."""
-    return spark.read.schema(schemas.CATALOG_COURSE).json(path, multiLine=not path.endswith("l"))
+    rows = spark.read.schema(schemas.CATALOG_COURSE).json(path, multiLine=not path.endswith("l"))
+    return rows.withColumn(PLACE, place_in_input(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")))
+
+
+PLACE = "_place"
+
+
+def place_in_input(file: Column, block: Column) -> Column:
+    """Order of rows in their files: a task numbers its rows in the order in which it reads a block."""
+    return F.struct(file.alias("file"), block.cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_package_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -11,12 +11,37 @@ from pyspark.sql import functions as F
 from rosterloom.operators.quality import QualityError
 from rosterloom.sources.snapshots import _hadoop
 
-# Table order in which references point backwards.
-PUBLISH_ORDER = [
-    "refresh_runs", "courses", "course_cross_listings", "prerequisite_rules", "prerequisite_nodes", "prerequisite_edges",
-    "prerequisite_course_summaries", "packages", "sections", "buildings", "meetings", "instructors",
-    "section_instructors", "canonical_sections", "canonical_meetings", "schedulable_packages", "course_search",
-]
+# What each published table refers to; the order of publishing follows from it.
+REFERENCES = {
+    "refresh_runs": [],
+    "buildings": [],
+    "instructors": [],
+    "courses": [],
+    "course_cross_listings": ["courses"],
+    "packages": ["courses"],
+    "sections": ["packages"],
+    "section_instructors": ["sections", "instructors"],
+    "meetings": ["sections", "buildings"],
+    "prerequisite_rules": ["courses"],
+    "prerequisite_nodes": ["prerequisite_rules"],
+    "prerequisite_edges": ["prerequisite_nodes"],
+    "prerequisite_course_summaries": ["prerequisite_rules"],
+    "canonical_sections": ["sections"],
+    "canonical_meetings": ["canonical_sections", "meetings"],
+    "schedulable_packages": ["packages"],
+    "course_search": ["courses"],
+}
+
+
+def publish_order(references: Mapping[str, Sequence[str]] = REFERENCES) -> list[str]:
+    """Tables so that references point backwards, those that could go next by name."""
+    order: list[str] = []
+    while len(order) < len(references):
+        ready = sorted(n for n, needed in references.items() if n not in order and set(needed) <= set(order))
+        if not ready:
+            raise ValueError(f"tables refer to each other in a circle or to none known: {sorted(set(references) - set(order))}")
+        order += ready
+    return order
 
 
 def replace_tables(root: str, tables: Mapping[str, DataFrame]) -> dict[str, int]:
@@ -40,18 +65,21 @@ def count_comparison(source: Mapping[str, DataFrame], staged: Mapping[str, DataF
     return both.withColumn("equal", F.col("source_rows").eqNullSafe(F.col("staged_rows")))
 
 
-def publish(root: str, tables: Mapping[str, DataFrame], order: Sequence[str] = PUBLISH_ORDER) -> dict[str, int]:
+def publish(root: str, tables: Mapping[str, DataFrame], order: Sequence[str] | None = None) -> dict[str, int]:
     """Copy tables to staging in dependency order, verify counts, swap all of them in.
 
     A count mismatch leaves the published tables untouched and removes the staging copy.
     """
     spark = next(iter(tables.values())).sparkSession
     fs, path_of = _hadoop(spark, root)
+    order = publish_order() if order is None else order
     names = [n for n in order if n in tables] + [n for n in tables if n not in order]
     staging, live, old = f"{root}/_staging", f"{root}/live", f"{root}/_old"
     written = replace_tables(staging, {n: tables[n] for n in names})
     staged = {n: spark.read.parquet(f"{staging}/{n}") for n in names}
-    bad = [r["table"] for r in count_comparison(tables, staged).filter("NOT equal").collect()]
+    # Rows were counted as they were written, so no source is read a second time.
+    found = {n: df.count() for n, df in staged.items()}
+    bad = [n for n in names if found[n] != written[n]]
     if bad:
         fs.delete(path_of(staging), True)
         raise QualityError(f"row counts differ: {', '.join(sorted(bad))}")
@@ -69,7 +97,7 @@ def publish(root: str, tables: Mapping[str, DataFrame], order: Sequence[str] = P
 
 def publish_jdbc(tables: Mapping[str, DataFrame], url: str, properties: Mapping[str, str], batch: int = 1000) -> None:
     """Write tables to a served database over JDBC, in batches and in dependency order."""
-    for name in [n for n in PUBLISH_ORDER if n in tables]:
+    for name in [n for n in publish_order() if n in tables]:
         writer = tables[name].write.mode("overwrite").option("truncate", "true").option("batchsize", batch)
         writer.jdbc(url, name, properties=dict(properties))
 

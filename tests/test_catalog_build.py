@@ -16,7 +16,7 @@ def meeting(days, start, end, **kw):
     return {
         "meetingType": "CLASS", "meetingDays": days, "meetingTimeStart": start, "meetingTimeEnd": end,
         "startDate": 100, "endDate": 900, "room": "120",
-        "building": {"buildingCode": "B1", "buildingName": "Grainger Hall", "latitude": 43.07, "longitude": -89.40}, **kw,
+        "building": {"buildingCode": "B1", "buildingName": "Harbor Hall", "latitude": 43.07, "longitude": -89.40}, **kw,
     }
 
 
@@ -43,13 +43,13 @@ def package(ident, sections, updated=1000, **kw):
 
 COURSES = [
     {
-        "termCode": "1272", "courseId": "000010", "catalogNumber": "577", "courseDesignation": "COMP SCI 577", "title": "Algorithms",
-        "fullCourseDesignation": "COMPUTER SCIENCES 577", "description": "Basic paradigms", "minimumCredits": 4.0, "maximumCredits": 4.0,
+        "termCode": "1272", "courseId": "000010", "catalogNumber": "431", "courseDesignation": "KELP 431", "title": "Currents",
+        "fullCourseDesignation": "KELP STUDIES 431", "description": "Moving water", "minimumCredits": 4.0, "maximumCredits": 4.0,
         "enrollmentPrerequisites": "(COMP SCI/MATH 240 or COMP SCI/MATH/STAT 475) and (COMP SCI 367 or 400)", "currentlyTaught": True,
         "lastUpdated": 5000, "subject": {"subjectCode": "266", "shortDescription": "COMP SCI", "footnotes": [" Laptop required "]},
     },
-    {"termCode": "1272", "courseId": "000010", "courseDesignation": "MATH  577", "catalogNumber": "577", "subject": {"subjectCode": "600"}},
-    {"termCode": "1272", "courseId": "000020", "courseDesignation": "ART 100", "title": "Drawing", "subject": {"subjectCode": "168"}},
+    {"termCode": "1272", "courseId": "000010", "courseDesignation": "REEF  431", "catalogNumber": "431", "subject": {"subjectCode": "600"}},
+    {"termCode": "1272", "courseId": "000020", "courseDesignation": "ART 100", "title": "Etching", "subject": {"subjectCode": "168"}},
 ]
 
 ANN = {"netid": "ann", "email": "ann@x", "name": {"first": "Ann", "last": "Lee"}}
@@ -62,7 +62,7 @@ PACKAGES = {
     "termCode": "1272",
     "results": [
         {
-            "course": {"termCode": "1272", "subjectCode": "266", "courseId": "000010", "courseDesignation": "COMP SCI 577"},
+            "course": {"termCode": "1272", "subjectCode": "266", "courseId": "000010", "courseDesignation": "KELP 431"},
             "packages": [
                 package("p1", [section(101, "LEC", "001", **LECTURE), section(102, "DIS", "301", footnotes=["Bring paper"])]),
                 # An older copy of the same package: fuller room data, one section that is gone.
@@ -132,7 +132,7 @@ def test_courses_known_only_from_packages(tables):
 
 def test_cross_listings_have_one_primary(tables):
     got = rows(tables["course_cross_listings"].filter("course_id = '000010'"), "course_designation", "is_primary")
-    assert got == [("COMP SCI 577", 1), ("MATH 577", 0)]
+    assert got == [("KELP 431", 1), ("REEF 431", 0)]
 
 
 def test_instructor_email_then_netid_is_one_person(tables):
@@ -148,7 +148,7 @@ def test_course_overview(tables):
     got = rows(
         tables["course_overview_v"], "course_designation", "section_count", "has_any_open_seats", "cross_list_designations_json", "cross_list_count"
     )
-    assert ("COMP SCI 577", 3, 1, '["COMP SCI 577","MATH 577"]', 2) in got
+    assert ("KELP 431", 3, 1, '["KELP 431","REEF 431"]', 2) in got
     assert ("ART 100", 0, None, '["ART 100"]', 1) in got
 
 
@@ -158,7 +158,7 @@ def test_schedulable_packages(tables):
         "earliest_start_minute_local", "latest_end_minute_local", "meeting_summary_local", "restriction_note",
     )
     assert got == [(
-        "COMP SCI 577 LEC 001 + DIS 301", 2, 4, 540, 600, "MWF 9:00 AM-9:50 AM @ Grainger Hall; T 9:00 AM-10:00 AM @ Grainger Hall",
+        "KELP 431 LEC 001 + DIS 301", 2, 4, 540, 600, "MWF 9:00 AM-9:50 AM @ Harbor Hall; T 9:00 AM-10:00 AM @ Harbor Hall",
         "(COMP SCI/MATH 240 or COMP SCI/MATH/STAT 475) and (COMP SCI 367 or 400) | Laptop required | Bring paper",
     )]
 
@@ -179,7 +179,7 @@ def test_run_metadata(tables):
 def test_requirement_summary(tables):
     got = rows(tables["prerequisite_course_summary_overview_v"], "course_designation", "summary_status", "course_groups_json")
     assert got == [(
-        "COMP SCI 577", "structured",
+        "KELP 431", "structured",
         '[["COMP SCI 240","MATH 240","COMP SCI 475","MATH 475","STAT 475"],["COMP SCI 367","COMP SCI 400"]]',
     )]
 
@@ -187,16 +187,16 @@ def test_requirement_summary(tables):
 def test_documented_queries_run(spark, tables):
     """The kind of SQL a user of the views runs today."""
     register_views(spark, tables)
-    assert spark.sql("SELECT section_number FROM section_overview_v WHERE course_designation = 'COMP SCI 577' ORDER BY section_type").count() == 3
+    assert spark.sql("SELECT section_number FROM section_overview_v WHERE course_designation = 'KELP 431' ORDER BY section_type").count() == 3
     assert spark.sql(
-        """SELECT section_type, COUNT(*) n, SUM(has_open_seats) o FROM section_overview_v WHERE course_designation = 'COMP SCI 577' GROUP BY section_type"""
+        """SELECT section_type, COUNT(*) n, SUM(has_open_seats) o FROM section_overview_v WHERE course_designation = 'KELP 431' GROUP BY section_type"""
     ).count() == 2
     assert spark.sql("SELECT * FROM schedule_planning_v WHERE section_class_number = 101 ORDER BY meeting_index").count() == 2
     assert spark.sql(
         """SELECT c.course_designation FROM courses c LEFT JOIN prerequisite_rules pr ON pr.term_code = c.term_code AND pr.course_id = c.course_id
         WHERE pr.rule_id IS NULL ORDER BY c.course_designation LIMIT 20"""
     ).collect()[0][0] == "ART 100"
-    assert spark.sql("SELECT * FROM course_cross_listing_overview_v WHERE alias_course_designation IN ('COMP SCI 577', 'MATH 577')").count() == 2
+    assert spark.sql("SELECT * FROM course_cross_listing_overview_v WHERE alias_course_designation IN ('KELP 431', 'REEF 431')").count() == 2
     assert spark.sql("SELECT * FROM course_overview_v WHERE minimum_credits != maximum_credits").count() == 0
     assert spark.sql("SELECT * FROM schedule_candidates_v WHERE campus_day_count <= 4 AND earliest_start_minute_local >= 540 AND open_seats > 0").count() == 2
     assert spark.sql("SELECT * FROM refresh_runs ORDER BY last_refreshed_at DESC LIMIT 1").count() == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterloom.operators import history, identity, matching, merging, quality, versions
 from rosterloom.plans import read_models as rm
 from rosterloom.skew import hot_keys, salted_join
+from rosterloom.functions.text import defined_values
 from rosterloom.sources import publish, schemas, snapshots
 
 
@@ -162,3 +163,18 @@ def test_snapshots_and_publish(spark, tmp_path):
     spark.range(1).createOrReplaceTempView("half_table")
     with pytest.raises(quality.QualityError):
         publish.require_whole_target(spark, ["half_table", "no_such_table"])
+
+
+def test_publish_order_follows_references():
+    order = publish.publish_order()
+    assert sorted(order) == sorted(publish.REFERENCES)
+    assert all(order.index(needed) < order.index(name) for name, refs in publish.REFERENCES.items() for needed in refs)
+    with pytest.raises(ValueError):
+        publish.publish_order({"a": ["b"], "b": ["a"]})
+
+
+def test_defined_values(spark):
+    rows = [((1, None, []),), ((None, ("x", None), ["a", None]),), ((None, (None, None), None),), (None,)]
+    df = spark.createDataFrame(rows, "v struct<a:int, b:struct<c:string,d:string>, l:array<string>>")
+    got = [r[0] for r in df.select(defined_values(df["v"], df.schema["v"].dataType)).collect()]
+    assert got == [2, 5, 0, 0]

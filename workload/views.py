@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterloom.functions import availability as av
-from rosterloom.functions.text import defined_leaves, key_field
+from rosterloom.functions.text import defined_values, key_field
 from rosterloom.operators import quality, rollups
 from rosterloom.operators.matching import identity_pairs, subject_aliases
 from rosterloom.operators.merging import display_history
@@ -271,7 +271,8 @@ def version_priority(spark, sf):
         "case when l_returnflag = 'A' then l_quantity end as a", "case when l_linestatus = 'O' then l_tax end as b",
         "case when l_discount > 0.05 then l_discount end as c",
     )
-    ranked = li.withColumn("filled", defined_leaves(F.col("a"), F.col("b"), F.col("c"))).withColumn(
+    nested = li.withColumn("value", F.struct("a", F.struct("b", "c").alias("inner"), F.array_compact(F.array("a", "c")).alias("list")))
+    ranked = nested.withColumn("filled", defined_values(F.col("value"), nested.schema["value"].dataType)).withColumn(
         "text", F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), "l_linenumber")
     )
     return best_version(ranked, ["l_partkey"], ["updated", "filled", "text"]).select("l_partkey", "updated", "filled", "text")
@@ -530,8 +531,9 @@ ORACLES = {
     "predicate_scan": """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '3-%')
         AND o_orderstatus IN ('O', 'F') AND o_custkey NOT IN (1, 2, 3) AND o_totalprice BETWEEN 1000 AND 400000 AND o_orderdate IS NOT NULL AND o_orderkey <> o_custkey""",
     "version_priority": """SELECT l_partkey, updated, filled, t AS "text" FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY updated DESC, filled DESC, t DESC) rk
-        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS INT) updated, CAST((l_returnflag = 'A') AS INT) + CAST((l_linestatus = 'O') AS INT) + CAST((l_discount > 0.05) AS INT) filled,
-          lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '/' || CAST(l_linenumber AS VARCHAR) t FROM lineitem)) WHERE rk = 1""",
+        FROM (SELECT l_partkey, updated, n + CAST(n > 0 AS INT) filled, t FROM (SELECT *, a + b + c + CAST(b + c > 0 AS INT) + a + c + CAST(a + c > 0 AS INT) n
+        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS INT) updated, CAST((l_returnflag = 'A') AS INT) a, CAST((l_linestatus = 'O') AS INT) b, CAST((l_discount > 0.05) AS INT) c,
+          lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '/' || CAST(l_linenumber AS VARCHAR) t FROM lineitem)))) WHERE rk = 1""",
     "local_identity_pairs": oracle(
         """SELECT term_code, course_id, subject_code subject, catalog_number number FROM courses
         UNION SELECT term_code, course_id, subject_code, catalog_number FROM course_cross_listings"""
