@@ -2,7 +2,9 @@
 
 A page is read once into blocks: runs of text between block-level boundaries.  A classifier turns a
 block's tags, class names, link share and length into the cost of calling it content and the cost of
-calling it boilerplate; these are the capacities to the two terminals.  Neighbours in page order and
+calling it boilerplate; these are the capacities to the two terminals.  What an element's tag, name or role says against it
+holds for everything inside, unless the element turns out to wrap the page: it holds half of the running text together with
+a headline, an article or a main element, or, where it is a form or a layout name, nearly all of it.  Neighbours in page order and
 blocks of the same container are tied by smoothness edges, weaker the more container borders lie
 between them.  The minimum cut, found by maximum flow, labels all blocks of a page at once.
 Scripts, styles, form controls and what is not shown are no blocks.
@@ -70,6 +72,12 @@ ROLE_WEIGHT = {
     "alertdialog": -9.0, "alert": -9.0, "menu": -9.0, "menubar": -9.0, "form": -9.0, "toolbar": -9.0, "main": 3.0, "article": 3.0,
 }
 NAME_BOILER, NAME_CONTENT = -7.0, 1.5
+# A header of an entry is its title; names of layouts tell what stands beside the content.
+TITLE_NAMES = frozenset("header head".split())
+BESIDE_NAMES, FRAME_NAMES = frozenset("has with no".split()), frozenset("wrap wrapper container layout grid inner outer".split())
+READER_NAMES = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+MARKED = -3.0  # weights from here on count as said against an element as a whole
+MOST_TEXT, NEARLY_ALL = 0.5, 0.9
 START = -0.5
 HEADING, PARAGRAPH = 0.8, 1.0
 PER_WORD, MOST_WORDS = 0.06, 40
@@ -85,10 +93,19 @@ _HIDDEN = re.compile(r"(?i:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
 class Block:
-    __slots__ = ("text", "linked", "weight", "container", "path")
+    __slots__ = ("text", "linked", "weight", "container", "path", "marks")
 
-    def __init__(self, text: str, linked: int, weight: float, container: int, path: tuple[int, ...]):
-        self.text, self.linked, self.weight, self.container, self.path = text, linked, weight, container, path
+    def __init__(self, text: str, linked: int, weight: float, container: int, path: tuple[int, ...], marks: tuple[int, ...] = ()):
+        self.text, self.linked, self.weight, self.container, self.path, self.marks = text, linked, weight, container, path, marks
+
+
+class Mark:
+    """What is said against an element, and what it holds."""
+
+    __slots__ = ("weight", "readers", "running", "heads")
+
+    def __init__(self, weight: float, readers: bool):
+        self.weight, self.readers, self.running, self.heads = weight, readers, 0, False
 
 
 class PageReader(HTMLParser):
@@ -97,8 +114,10 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        # (tag, weight inside, silent, linked, container number, path of containers)
-        self.stack: list[tuple] = [("", 0.0, False, False, 0, (0,))]
+        # (tag, weight inside, silent, linked, container number, path of containers, marks of it and the elements around)
+        self.stack: list[tuple] = [("", 0.0, False, False, 0, (0,), ())]
+        self.marks: list[Mark] = []
+        self.running = 0
         self.containers = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -108,7 +127,11 @@ class PageReader(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(text, self.linked, top[1] + self.own_weight(), top[4], top[5]))
+                self.blocks.append(Block(text, self.linked, top[1] + self.own_weight(), top[4], top[5], top[6]))
+                plain = max(0, len(text) - self.linked)
+                self.running += plain
+                for m in top[6]:
+                    self.marks[m].running += plain
             self.parts, self.linked = [], 0
 
     def own_weight(self) -> float:
@@ -156,28 +179,39 @@ class PageReader(HTMLParser):
         self.implied_ends(tag)
         if tag in BLOCKS:
             self.flush()
-        _, weight, silent, linked, container, path = self.stack[-1]
-        weight += TAG_WEIGHT.get(tag, 0.0) if tag != "header" or weight <= 0 else 0.0
-        hidden = False
+        _, weight, silent, linked, container, path, marks = self.stack[-1]
+        own = TAG_WEIGHT.get(tag, 0.0) if tag != "header" or weight <= 0 else 0.0
+        hidden, readers = False, False
         for name, value in attrs:
             if name == "hidden":
                 hidden = True
             elif value and name in ("class", "id"):
                 names = {w.lower() for w in _NAME.findall(value)}
-                if names & BOILER_NAMES and tag not in ("body", "html", "article", "main"):
-                    weight += NAME_BOILER
-                elif names & CONTENT_NAMES:
-                    weight += NAME_CONTENT
+                against = names & BOILER_NAMES
+                entitled = against <= TITLE_NAMES or names & FRAME_NAMES
+                if against and tag not in ("body", "html", "article", "main") and not names & BESIDE_NAMES and not (names & CONTENT_NAMES and entitled):
+                    own += NAME_BOILER
+                    readers = readers or bool(names & READER_NAMES)
+                elif names & CONTENT_NAMES and not against:
+                    own += NAME_CONTENT
             elif value and name == "role":
-                weight += ROLE_WEIGHT.get(value.strip().lower(), 0.0)
+                own += ROLE_WEIGHT.get(value.strip().lower(), 0.0)
             elif value and name == "aria-hidden":
                 hidden = hidden or value.strip().lower() == "true"
             elif value and name == "style":
                 hidden = hidden or bool(_HIDDEN.search(value))
+        if own <= MARKED:
+            self.marks.append(Mark(own, readers))
+            marks = (*marks, len(self.marks) - 1)
+        else:
+            weight += own
+            if tag in ("h1", "article", "main"):
+                for m in marks:
+                    self.marks[m].heads = True
         if tag in BLOCKS and tag != "p" and tag not in HEADINGS:
             self.containers += 1
             container, path = self.containers, (*path[-7:], self.containers)
-        self.stack.append((tag, weight, silent or hidden or tag in SILENT, linked or tag == "a", container, path))
+        self.stack.append((tag, weight, silent or hidden or tag in SILENT, linked or tag == "a", container, path, marks))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # The slash means nothing on elements that can hold text.
@@ -207,9 +241,18 @@ def read_blocks(html: str) -> list[Block]:
     reader.feed(_CUT_OFF.sub("", html))
     reader.close()
     reader.flush()
+    holds = [wraps_the_page(m, reader.running) for m in reader.marks]
+    for block in reader.blocks:
+        block.weight += sum(reader.marks[m].weight for m in block.marks if not holds[m])
     return reader.blocks
 
 
+def wraps_the_page(mark: Mark, running: int) -> bool:
+    """Whether an element holds so much of the page's running text that what is said against it says nothing."""
+    most = mark.running > MOST_TEXT * running
+    return most and (mark.heads or not mark.readers and mark.running > NEARLY_ALL * running)
+
+
 def content_score(block: Block) -> float:
     """Cost of calling the block boilerplate less the cost of calling it content."""
     words = block.text.count(" ") + 1

@@ -28,6 +28,32 @@ def test_main_text_of_a_page():
     assert main_text(PAGE) == TEXT
 
 
+STORY = "<h1>A title of the page</h1>" + "".join(f"<p>Paragraph {i} of the story goes on for some words, and then it ends.</p>" for i in range(6))
+STORY_TEXT = "A title of the page\n" + "\n".join(f"Paragraph {i} of the story goes on for some words, and then it ends." for i in range(6))
+MENU = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul>'
+REPLIES = '<div id="comments"><h2>Comments</h2>' + "".join(f'<div class="comment"><p>Reader {i} thinks so too, and has more to say.</p></div>' for i in range(3)) + "</div>"
+
+
+def test_what_wraps_the_page_is_no_boilerplate():
+    """Forms around the whole page, layout names, entries with a header, pages without an article."""
+    foot = "<footer><p>Made by someone in some year.</p></footer>"
+    for page in (
+        f"<body><form id='aspnetForm'>{MENU}<article>{STORY}</article>{foot}</form></body>",
+        f"<body><form>{MENU}<div>{STORY}</div>{foot}</form></body>",
+        f"<body>{MENU}<div class='content-sidebar-wrap'><div class='entry'>{STORY}</div><div class='sidebar'><p>Some other words.</p></div></div>{foot}</body>",
+        f"<body class='has-sidebar'>{MENU}<div class='page has-sidebar'><div>{STORY}</div></div>{REPLIES}{foot}</body>",
+        f"<body>{MENU}<div class='entry-header'><h1>A title of the page</h1></div><div class='entry-content'>{STORY[len('<h1>A title of the page</h1>'):]}</div>{REPLIES}</body>",
+        f"<body>{MENU}<main>{STORY}</main><div class='nav-container'><p>Where to go from here now.</p></div>{REPLIES}{foot}</body>",
+        f"<body>{MENU}<div id='widget-area'><div>{STORY}</div></div></body>",
+    ):
+        assert main_text(page) == STORY_TEXT, page[:60]
+
+
+def test_readers_words_are_no_content_however_many():
+    page = f"<body><div>{STORY}</div>" + REPLIES * 12 + "</body>"
+    assert main_text(page) == STORY_TEXT
+
+
 def test_broken_markup():
     assert main_text("<article><p><b>one.<br><p>two &lt;tag&gt; &amp;amp;<p>three <a hre") == "one.\ntwo <tag> &amp;\nthree"
     assert main_text("</div></p></b>") == ""
