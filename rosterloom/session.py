@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now, not whenever the driver next collects its garbage.
+
+    For steps that shuffle much after one another; what is still referred to stays.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
