@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.operators.identity import connected_components
-from rosterloom.session import cut_lineage
+from rosterloom.session import cut_lineage, release_shuffles
 
 WORDS = 3
 PERCENT = 90
@@ -568,20 +568,25 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     candidates = cut_lineage(_candidates(signed, percent))
     sets = cut_lineage(shingle_sets(docs.join(candidates, "doc_id", "left_semi"), words).filter(F.size("shingles") > 0)
         .groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
+    release_shuffles(docs.sparkSession)
     active = cut_lineage(_open_groups(_shared_keys(sets, percent).withColumn("comp", F.col("node"))))
     labels = cut_lineage(active.select("node").distinct().withColumn("comp", F.col("node")))
     apart = None
     for turn, hubs in enumerate((*HUBS_PER_ROUND, 0)):
         if active.isEmpty():
             break
+        release_shuffles(docs.sparkSession)
         if hubs:
             pairs = _hub_pairs(active, hubs, turn, percent)
         else:
             # What shares keys but was not linked by hubs is indexed again, more selectively, and paired.
             left = _with_partners(sets.join(active.select("node").distinct(), "node", "left_semi"), percent)
-            rest = _open_groups(_wide_keys(left, percent).join(left.select("node", "alone"), "node").join(labels, "node"))
-            members = rest.groupBy("key").agg(F.count("*").alias("members"))
-            rest = cut_lineage(rest.join(members, "key").withColumn("large", F.col("members") > LARGE_GROUP))
+            # Most of these many keys belong to one set; they go before anything is joined to them.
+            made = _wide_keys(left, percent)
+            members = made.groupBy("key").agg(F.count("*").alias("members"), F.max("probe").alias("_probed")).filter("members > 1 AND _probed")
+            shared = cut_lineage(made.join(members.drop("_probed"), "key").withColumn("large", F.col("members") > LARGE_GROUP))
+            release_shuffles(docs.sparkSession)
+            rest = cut_lineage(_open_groups(shared.join(left.select("node", "alone"), "node").join(labels, "node")))
             in_cells = cut_lineage(_cell_links(rest, left, percent))
             pairs = _remaining_pairs(rest, percent)
         if apart is not None:
