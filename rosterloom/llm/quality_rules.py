@@ -29,6 +29,7 @@ from rosterloom.session import cut_lineage
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 CORE = 0.75
+BROADCAST_GROUPS = 20_000  # rows of at most about 200 bytes
 STEPS = 6
 MIN_GROUP = 50
 TAIL = 0.001  # share of normal documents beyond the cutoff
@@ -180,6 +181,15 @@ def _judged_by(stats: DataFrame) -> DataFrame:
     )
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """Rows joined to a written table of one row per group.
+
+    A group may hold most rows, so no row is shuffled by its group: the table is broadcast once it is counted to be small.  Beyond that
+    groups are many, and Spark joins as it sees fit.
+    """
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on, how)
+
+
 def robust_estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups with the level that judges them, estimates per level group: centre and scatter factor)."""
     groups = _judged_by(stats)
@@ -187,9 +197,9 @@ def robust_estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_langs = groups.filter("level = 1").select(F.col("g_lang").alias("s_lang")).distinct()
     small_corpus = groups.filter("level = 2").limit(1).select(F.lit(1).alias("s_any"))
     rows = stats.filter("not failed").select(F.col("lang"), F.col("source"), *FEATURES)
-    own = rows.join(groups.filter("level = 0"), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
+    own = _with_group(rows, groups.filter("level = 0"), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
     own = own.select(F.lit(0).alias("level"), "lang", "source", *FEATURES)
-    by_lang = rows.join(small_langs, F.col("lang").eqNullSafe(F.col("s_lang"))).select(
+    by_lang = _with_group(rows, small_langs, F.col("lang").eqNullSafe(F.col("s_lang"))).select(
         F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), *FEATURES
     )
     corpus = rows.join(small_corpus, F.lit(1) == F.col("s_any")).select(
@@ -199,8 +209,8 @@ def robust_estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.to_json(F.struct("level", "lang", "source"))
     pool = cut_lineage(own.unionByName(by_lang).unionByName(corpus).select(key.alias("g"), *FEATURES))
 
-    middle = pool.groupBy("g").agg(*[F.percentile_approx(f, 0.5, _QUANTILE_ACCURACY).alias(f"m_{i}") for i, f in enumerate(FEATURES)])
-    spread = pool.join(middle, "g").groupBy("g").agg(
+    middle = cut_lineage(pool.groupBy("g").agg(*[F.percentile_approx(f, 0.5, _QUANTILE_ACCURACY).alias(f"m_{i}") for i, f in enumerate(FEATURES)]))
+    spread = _with_group(pool, middle, "g").groupBy("g").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(FEATURES))],
         *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, _QUANTILE_ACCURACY).alias(f"d_{i}") for i, f in enumerate(FEATURES)],
     )
@@ -209,9 +219,9 @@ def robust_estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     estimates = cut_lineage(estimates)
     factor = consistency()
     for _ in range(STEPS):
-        far = pool.join(estimates, "g").select("g", *FEATURES, _distance().alias("d2"))
-        limits = far.groupBy("g").agg(F.percentile_approx("d2", CORE, _QUANTILE_ACCURACY).alias("limit"))
-        core = far.join(limits, "g").filter("d2 <= limit")
+        far = _with_group(pool, estimates, "g").select("g", *FEATURES, _distance().alias("d2"))
+        limits = cut_lineage(far.groupBy("g").agg(F.percentile_approx("d2", CORE, _QUANTILE_ACCURACY).alias("limit")))
+        core = _with_group(far, limits, "g").filter("d2 <= limit")
         moments = core.groupBy("g").agg(
             *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)],
             *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(len(FEATURES)) for j in range(i + 1)],
@@ -228,9 +238,9 @@ def judge(docs: DataFrame) -> DataFrame:
     lang = F.when(F.col("level") < 2, F.col("g_lang"))
     source = F.when(F.col("level") < 1, F.col("g_source"))
     key = F.to_json(F.struct("level", lang.alias("lang"), source.alias("source")))
-    by_group = groups.select("g_lang", "g_source", key.alias("g")).join(estimates, "g", "left").drop("g")
+    by_group = cut_lineage(groups.select("g_lang", "g_source", key.alias("g")).join(estimates, "g", "left").drop("g"))
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    judged = stats.join(by_group, same, "left").withColumn("distance", F.when(~F.col("failed"), _distance()))
+    judged = _with_group(stats, by_group, same, "left").withColumn("distance", F.when(~F.col("failed"), _distance()))
     return judged.select(
         "doc_id",
         "lang",

@@ -4,8 +4,9 @@ A batch of changes holds inserts, deletes and revised counts; each change adds a
 documents and tokens to its totals.  A batch is summed per key and committed as one folder of the
 rollup; totals are the sums over the committed folders, so nothing that is stored is ever rewritten.
 A batch id that is committed already is skipped, which makes a repeated commit harmless; a commit
-that was broken off leaves no success marker and is written again.  ``compact`` folds committed
-batches into one.
+that was broken off leaves no marker and is written again.  The marker is a file of the rollup's own, written last.
+``compact`` folds committed batches into one of another rollup, which keeps their ids, so a batch that was folded stays
+committed.
 
 Defined cases: null sources, languages and tokenizers are keys like others; a null count is 0; a
 null or unknown operation fails the commit; repeated rows in a batch count as often as they occur;
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from rosterloom.llm.encoding import BYTE_BPE_50K, ID_BYTES, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
+MARKER = "_COMMITTED"
 TOTALS_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -96,16 +98,33 @@ class Rollup:
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _exists(self, path: str) -> bool:
+        hadoop, files = self._hadoop_path(path)
+        return files.exists(hadoop)
+
     def is_committed(self, batch_id: str) -> bool:
-        marker, files = self._hadoop_path(f"{self._path(batch_id)}/_SUCCESS")
-        return files.exists(marker)
+        """Whether a batch counts in the totals, by its own folder or folded into another batch."""
+        if self._exists(f"{self._path(batch_id)}/{MARKER}"):
+            return True
+        folded = self._folded()
+        return folded is not None and not folded.filter(F.col("batch_id") == batch_id).isEmpty()
+
+    def _folded(self) -> DataFrame | None:
+        """Ids of the batches that were folded into committed ones."""
+        paths = [path for name in self.committed() if self._exists(path := f"{self.folder}/folded={name}")]
+        return self.spark.read.schema("batch_id string").parquet(*paths) if paths else None
 
     def committed(self) -> list[str]:
+        """Batches with a folder of their own here."""
         folder, files = self._hadoop_path(self.folder)
         if not files.exists(folder):
             return []
         names = [status.getPath().getName() for status in files.listStatus(folder)]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.is_committed(n[6:]))
+        return sorted(n[6:] for n in names if n.startswith("batch=") and self._exists(f"{self.folder}/{n}/{MARKER}"))
+
+    def _seal(self, batch_id: str) -> None:
+        marker, files = self._hadoop_path(f"{self._path(batch_id)}/{MARKER}")
+        files.create(marker, True).close()
 
     def commit(self, batch_id: str, batch: DataFrame) -> bool:
         """Add a batch once; False if it is committed already.  One writer at a time per rollup is assumed."""
@@ -113,6 +132,7 @@ class Rollup:
             return False
         sums = signed(batch).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(self._path(batch_id))
+        self._seal(batch_id)
         return True
 
     def totals(self, batches: list[str] | None = None) -> DataFrame:
@@ -124,5 +144,11 @@ class Rollup:
         return stored.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, into: "Rollup", batch_id: str = "base") -> None:
-        """Write the totals as one batch of another, empty rollup."""
+        """Write the totals as one batch of another, empty rollup, with the ids of all batches that they hold."""
+        ids = self.spark.createDataFrame([(name,) for name in self.committed()], "batch_id string")
+        folded = self._folded()
+        if folded is not None:
+            ids = ids.unionByName(folded)
         self.totals().write.mode("overwrite").parquet(into._path(batch_id))
+        ids.distinct().write.mode("overwrite").parquet(f"{into.folder}/folded={batch_id}")
+        into._seal(batch_id)

@@ -43,7 +43,7 @@ def test_broken_commits_are_repeated(spark, tmp_path):
     assert rollup.committed() == []
     assert rollup.commit("1", rows) and totals(rollup.totals()) == {("a", "en", "v1"): (1, 10)}
     # A commit that was broken off has files but no marker.
-    (tmp_path / "r" / "batch=1" / "_SUCCESS").unlink()
+    (tmp_path / "r" / "batch=1" / token_rollup.MARKER).unlink()
     assert totals(rollup.totals()) == {}
     assert rollup.commit("1", rows) and totals(rollup.totals()) == {("a", "en", "v1"): (1, 10)}
     with pytest.raises(ValueError):
@@ -75,3 +75,17 @@ def test_query_against_direct_totals(spark, sf_dir):
                 docs[key] += 1
                 tokens[key] += len(brute.ids(folded)) - 1
     assert totals(queries.op10_token_rollup(spark, sf_dir)) == {k: (docs[k], tokens[k]) for k in docs}
+
+
+def test_folded_batches_stay_committed(spark, tmp_path):
+    one = spark.createDataFrame([("a", "en", 7)], "source string, lang string, n long")
+    old, new, newest = (token_rollup.Rollup(spark, str(tmp_path / name)) for name in ("old", "new", "newest"))
+    load = token_rollup.changes(one, "insert", "v1", F.col("n"))
+    assert old.commit("1-load", load)
+    old.compact(new)
+    assert new.is_committed("1-load") and not new.commit("1-load", load)
+    assert totals(new.totals()) == {("a", "en", "v1"): (1, 7)}
+    assert new.commit("2-load", load)
+    new.compact(newest, "base-2")
+    assert not newest.commit("1-load", load) and not newest.commit("2-load", load) and not newest.commit("base", load)
+    assert totals(newest.totals()) == {("a", "en", "v1"): (2, 14)}
