@@ -1,11 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Items and documents become arrays of normalised words.  All windows of ``WINDOW`` item words (one
-window for a shorter item) form the gram table.  While its counted size is within
-``MAX_BROADCAST_GRAMS``, its hashes go to every task as a hash set of one byte per cell; a document's
-windows are hashed and looked up inside their row, so only the few windows that pass become rows, and
-these are verified by a broadcast join of their words with the gram table.  A larger gram table is
-not broadcast: then every window becomes a row and is joined by a shuffle.
+window for a shorter item) form the gram table.  It is cut into slices of at most about
+``MAX_BROADCAST_GRAMS`` by hash, as many as its counted size asks for, one for most suites.  A slice's hashes go to every
+task as a hash set of one byte per cell; a document's windows are hashed and looked up inside their row, so only the
+few windows that pass become rows, and these are verified by a broadcast join of their words with the slice.  Each
+slice is a pass over the documents, so what a task holds does not grow with the benchmark.
 
 Defined cases: a null text has no words and is never hit; items without words are ignored; repeated
 items, or items with a null id, count by their distinct ids (a null id is no item, its windows still
@@ -51,7 +51,7 @@ def _cell(h: Column, cells: int) -> Column:
 def hash_set(grams: DataFrame, n_grams: int) -> bytes:
     """One byte per cell, 1 where a gram's hash falls; at most one cell in 32 is set.
 
-    The caller has checked n_grams against MAX_BROADCAST_GRAMS, which bounds both what is collected
+    Slices are cut so that n_grams stays about MAX_BROADCAST_GRAMS, which bounds both what is collected
     here and the size of the literal that tasks get (64 bytes per gram).
     """
     cells = 1 << (32 * n_grams - 1).bit_length()
@@ -61,16 +61,14 @@ def hash_set(grams: DataFrame, n_grams: int) -> bytes:
     return bytes(marks)
 
 
-def _suspects(words: Column, length: int, marks: bytes | None) -> Column:
-    """(start from 1, length) of the windows whose hash may be a gram's; all windows where there is no set."""
+def _suspects(words: Column, length: int, marks: bytes) -> Column:
+    """(start from 1, length) of the windows whose hash may be a gram's."""
 
     def marked(start: Column) -> Column:
         cell = _cell(F.xxhash64(F.slice(words, start, length)), len(marks))
         return F.substring(F.lit(bytearray(marks)), cell + 1, 1) == F.lit(bytearray(b"\x01"))
 
-    starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
-    if marks is not None:
-        starts = F.filter(starts, marked)
+    starts = F.filter(F.sequence(F.lit(1), F.size(words) - (length - 1)), marked)
     pairs = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(length).alias("length")))
     return F.when(F.size(words) >= length, pairs).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
 
@@ -78,14 +76,26 @@ def _suspects(words: Column, length: int, marks: bytes | None) -> Column:
 def _verified(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """Each row's suspect windows, with the items of those that are real; rows without any have one row of nulls."""
     grams = cut_lineage(benchmark_grams(benchmark, window))
+    slices = max(1, -(-grams.count() // max(1, MAX_BROADCAST_GRAMS)))
+    found = None
+    if slices > 1:
+        docs = cut_lineage(docs)  # rows keep their numbers in every pass
+    for i in range(slices):
+        part = grams if slices == 1 else cut_lineage(grams.filter(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i))
+        rows = _verified_by(docs, part)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _verified_by(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """``_verified`` for one slice of the gram table."""
     sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one per length
-    n_grams = sum(sizes.values())
     rows = docs.withColumn("_words", normalised_words(F.col("text")))
     if not sizes:
         none = F.array().cast("array<struct<start:int,length:int>>")
         rows = rows.withColumn("_suspects", none)
     else:
-        marks = hash_set(grams, n_grams) if n_grams <= MAX_BROADCAST_GRAMS else None
+        marks = hash_set(grams, sum(sizes.values()))
         lists = [_suspects(F.col("_words"), n, marks) for n in sorted(sizes)]
         rows = rows.withColumn("_suspects", F.concat(*lists) if len(lists) > 1 else lists[0])
     words_of = lambda s: F.array_join(F.slice(F.col("_words"), s["start"], s["length"]), " ")
@@ -94,9 +104,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     )
     rows = rows.withColumn("_n_words", F.size("_words").cast("long")).withColumn("_suspects", suspects)
     rows = rows.drop("text", "_words").withColumn("_s", F.explode_outer("_suspects")).drop("_suspects")
-    table = grams.select(F.col("gram").alias("_gram"), F.col("length").alias("_length"), F.col("items").alias("_items"))
-    if n_grams <= MAX_BROADCAST_GRAMS:
-        table = F.broadcast(table)
+    table = F.broadcast(grams.select(F.col("gram").alias("_gram"), F.col("length").alias("_length"), F.col("items").alias("_items")))
     return rows.join(table, (F.col("_s.gram") == F.col("_gram")) & (F.col("_s.length") == F.col("_length")), "left").select(
         *[c for c in rows.columns if c != "_s"], F.when(F.col("_gram").isNotNull(), F.col("_s")).alias("_s"), "_items"
     )
