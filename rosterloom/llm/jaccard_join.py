@@ -57,7 +57,7 @@ HUBS_PER_ROUND = (1, 2, 2)
 LARGE_GROUP = 32  # groups up to this size make pairs, larger ones are verified in cells of two chunks
 CHUNK = 500
 CACHED_WORDS = 400_000
-LOT_SHINGLES = 1 << 21
+LOT_SHINGLES = 1 << 19
 LOT_DOCUMENTS = 1 << 16
 BUCKET_LETTERS = 1 << 23  # letters of text per bucket of shingles
 _MASK = (1 << 64) - 1
