@@ -588,9 +588,13 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             release_shuffles(docs.sparkSession)
             rest = cut_lineage(_open_groups(shared.join(left.select("node", "alone"), "node").join(labels, "node")))
             in_cells = cut_lineage(_cell_links(rest, left, percent))
+            release_shuffles(docs.sparkSession)
             pairs = _remaining_pairs(rest, percent)
         if apart is not None:
             pairs = pairs.join(apart, ["u", "v"], "left_anti")
+        # The shingles of both sides travel to the pairs; what found the pairs is let go before.
+        pairs = cut_lineage(pairs)
+        release_shuffles(docs.sparkSession)
         verified = cut_lineage(_verify(pairs, sets, percent))
         refused = verified.filter("not linked").select("u", "v")
         apart = refused if apart is None else apart.unionByName(refused)
