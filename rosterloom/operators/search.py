@@ -233,25 +233,46 @@ def _representatives(matched: DataFrame, lead: Sequence[Column]) -> DataFrame:
     return top_per_key(matched, ["query_id", "course_designation"], order)
 
 
-def _final(rows: DataFrame, lead: Sequence[Column], limit: int | None, queries: DataFrame) -> DataFrame:
-    """Final order: signals, then open seats before section count; a query's own ``result_limit`` goes before ``limit``."""
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries with the normal form of their text and subject, and ``_question``, which is equal where both are."""
+    text = search_text(F.col("text")) if "text" in queries.columns else F.lit("")
+    subject = F.upper(F.trim(F.coalesce("subject", F.lit("")))) if "subject" in queries.columns else F.lit("")
+    # A normal text has no line break.
+    return queries.withColumn("_text", text).withColumn("_subject", subject).withColumn("_question", F.concat_ws("\n", "_text", "_subject"))
+
+
+def _final(rows: DataFrame, lead: Sequence[Column], limit: int | None, asked: DataFrame) -> DataFrame:
+    """Final order: signals, then open seats before section count; a query's own ``result_limit`` goes before ``limit``.
+
+    ``rows`` has a question as its ``query_id``; its best rows go to every query that asks it.
+    """
     order = [
         *lead,
         _zero("has_any_open_seats").desc(),
         _zero("section_count").desc(),
         F.col("course_designation").asc(),
     ]
-    if "result_limit" not in queries.columns:
-        return top_per_key(rows, ["query_id"], order, clamp_limit(limit), rank="rank")
-    own = queries.select("query_id", clamped(F.coalesce("result_limit", F.lit(limit).cast("int"))).alias("_limit"))
-    return top_per_key(rows, ["query_id"], order, MAX_LIMIT, rank="rank").join(own, "query_id").filter("rank <= _limit").drop("_limit")
+    own = "result_limit" in asked.columns
+    best = top_per_key(rows, ["query_id"], order, MAX_LIMIT if own else clamp_limit(limit), rank="rank").withColumnRenamed("query_id", "_question")
+    if not own:
+        return asked.select("query_id", "_question").join(best, "_question").drop("_question")
+    limits = asked.select("query_id", "_question", clamped(F.coalesce("result_limit", F.lit(limit).cast("int"))).alias("_limit"))
+    return limits.join(best, "_question").filter("rank <= _limit").drop("_question", "_limit")
+
 
+def _by_subject(courses: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Courses with every ``_subject`` their designation starts with, joined on its beginnings that are as long as some subject."""
+    lengths = _lengths(subjects, F.char_length("_subject"))
+    upper = F.upper("course_designation")
+    fitting = F.filter(lengths, lambda n: n <= F.char_length(upper))
+    return courses.withColumn("_subject", F.explode_outer(F.transform(fitting, lambda n: F.substring(upper, F.lit(1), n))))
 
-def _subject_filter(df: DataFrame, queries: DataFrame) -> DataFrame:
-    if "subject" not in queries.columns:
-        return df
-    wanted = queries.select("query_id", F.upper(F.trim(F.coalesce("subject", F.lit("")))).alias("_subject"))
-    return df.join(wanted, "query_id").filter(F.upper("course_designation").startswith(F.col("_subject"))).drop("_subject")
+
+def _questions(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """Courses found for a text, ``query_id``, as those of each question that has it."""
+    questions = asked.select(F.col("_text").alias("query_id"), "_subject", "_question").distinct()
+    keyed = _by_subject(found, questions) if "subject" in asked.columns else found.withColumn("_subject", F.lit(""))
+    return keyed.join(questions, ["query_id", "_subject"]).drop("query_id", "_subject").withColumnRenamed("_question", "query_id")
 
 
 def search(
@@ -264,18 +285,21 @@ def search(
 ) -> DataFrame:
     """Indexed search: every token must prefix-match, results ranked by match tier, then BM25.
 
-    ``queries(query_id, text)``, and ``subject`` and ``result_limit`` where they differ by query.
+    ``queries(query_id, text)``, and ``subject`` and ``result_limit`` where they differ by query.  A text is matched once and a
+    text within a subject ranked once, however many queries ask it.
     """
     row = [*keys, "alias_course_designation"]
     posts = corpus_index(corpus, keys) if index is None else index
-    tokens = query_tokens(queries)
+    asked = _asked(queries)
+    wanted = asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct()
+    tokens = query_tokens(wanted)
     hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
     matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
     texts = corpus.select(*row, "alias_normalized", "alias_compact", "title_normalized")
-    signals = _match_signals(matches.join(texts, row), queries, list(keys))
+    signals = _match_signals(matches.join(texts, row), wanted, list(keys))
     lead = [*[F.col(s).desc() for s in _SIGNALS], F.round("best_score", 6).desc()]
-    found = _subject_filter(signals.join(overview, list(keys)), queries)
-    return _final(_representatives(found, lead), lead, limit, queries)
+    found = _questions(signals.join(overview, list(keys)), asked)
+    return _final(_representatives(found, lead), lead, limit, asked)
 
 
 def search_without_index(
@@ -286,10 +310,12 @@ def search_without_index(
         "alias_tight", F.replace(F.lower("alias_course_designation"), F.lit(" "), F.lit(""))
     )
     posts = build_index(lowered, list(keys), ["alias_lower", "alias_tight", "title", "description"])
-    tokens = query_tokens(queries)
+    asked = _asked(queries)
+    wanted = asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct()
+    tokens = query_tokens(wanted)
     hits = token_hits(posts, expand_tokens(tokens, posts, substring=True), list(keys)).select(*keys, "qtoken")
     matches = all_token_matches(tokens, hits, list(keys))
-    q = queries.select("query_id", search_text(F.col("text")).alias("q"), compact_designation(F.col("text")).alias("qc"))
+    q = wanted.select("query_id", search_text(F.col("text")).alias("q"), compact_designation(F.col("text")).alias("qc"))
     title = F.lower("title")
     tests = {
         "exact_alias_match": F.col("alias_lower") == F.col("q"),
@@ -308,22 +334,19 @@ def search_without_index(
         F.col(s).desc()
         for s in ("exact_alias_match", "compact_alias_match", "prefix_alias_match", "exact_title_match", "prefix_title_match")
     ]
-    found = _subject_filter(signals.join(overview, list(keys)), queries)
-    return _final(_representatives(found, lead), lead, limit, queries)
+    found = _questions(signals.join(overview, list(keys)), asked)
+    return _final(_representatives(found, lead), lead, limit, asked)
 
 
 def browse(subjects: DataFrame, overview: DataFrame, limit: int | None = None) -> DataFrame:
     """Courses whose designation starts with a subject, per ``subjects(query_id, subject)``.
 
-    Joined on the beginnings of designations that are as long as some subject.
+    A subject is ranked once, however many queries ask it.
     """
-    wanted = subjects.select("query_id", F.upper(F.trim("subject")).alias("_subject")).filter("_subject <> ''")
-    lengths = _lengths(wanted, F.char_length("_subject"))
-    upper = F.upper("course_designation")
-    fitting = F.filter(lengths, lambda n: n <= F.char_length("course_designation"))
-    courses = overview.withColumn("_subject", F.explode_outer(F.transform(fitting, lambda n: F.substring(upper, F.lit(1), n))))
-    found = courses.join(wanted, "_subject")
-    return _final(_representatives(found.drop("_subject"), []), [], limit, subjects)
+    asked = _asked(subjects.drop("text")).filter("_subject <> ''")
+    wanted = asked.select("_subject", F.col("_question").alias("query_id")).distinct()
+    found = _by_subject(overview, wanted).join(wanted, "_subject")
+    return _final(_representatives(found.drop("_subject"), []), [], limit, asked)
 
 
 def answer(
