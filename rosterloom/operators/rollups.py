@@ -74,9 +74,9 @@ def meeting_line(days: Column, start: Column, end: Column, online: Column, build
 
 def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str, out: str) -> DataFrame:
     """Texts of a key joined in order; blank ones are left out."""
-    items = df.filter(F.col(text) != "").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*order, text))).alias("_items")
-    )
+    # Blank texts are passed over by the list, not by a filter, which would work every text out twice.
+    item = F.when(F.col(text) != "", F.struct(*order, text))
+    items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items")).filter(F.size("_items") > 0)
     return items.select(*keys, F.array_join(F.col("_items")[text], sep).alias(out))
 
 

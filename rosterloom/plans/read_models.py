@@ -169,18 +169,28 @@ def canonical_meetings(canonical: DataFrame, sections: DataFrame, meetings: Data
     )
     start = cal.local_minute(F.col("meeting_time_start"))
     end = cal.local_minute(F.col("meeting_time_end"))
-    return rows.select(
+    worked = rows.withColumns({
+        "days_mask": cal.days_mask(F.col("meeting_days")),
+        "start_minute_local": start,
+        "end_minute_local": end,
+        "is_online": av.online_mode(F.col("instruction_mode")),
+    })
+    # Handed on as one item of a list: a later filter on these columns, or on a text made of them, then reads the values, where it
+    # would else take the whole clock expression in place of every mention.
+    clock = F.struct("days_mask", "start_minute_local", "end_minute_local", "is_online")
+    listed = worked.withColumn("_clock", F.explode_outer(F.array(clock)))
+    return listed.select(
         "package_id",
         "source_package_id",
         "section_class_number",
         *_MEETING,
         *_BUILDING,
         F.lit(cal.CLOCK_ZONE).alias("timezone_name"),
-        cal.days_mask(F.col("meeting_days")).alias("days_mask"),
-        start.alias("start_minute_local"),
-        end.alias("end_minute_local"),
-        cal.duration(start, end).alias("duration_minutes"),
-        av.online_mode(F.col("instruction_mode")).alias("is_online"),
+        "_clock.days_mask",
+        "_clock.start_minute_local",
+        "_clock.end_minute_local",
+        cal.duration(F.col("_clock.start_minute_local"), F.col("_clock.end_minute_local")).alias("duration_minutes"),
+        "_clock.is_online",
         "location_known",
     )
 
