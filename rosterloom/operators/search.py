@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.functions.text import compact_designation, let, search_text, search_tokens
@@ -180,11 +180,67 @@ def bm25_hits(posts: DataFrame, hits: DataFrame, row: Sequence[str]) -> DataFram
 
 
 def ranked_topics(queries: DataFrame, posts: DataFrame, row: Sequence[str], best: int) -> DataFrame:
-    """(query_id, row, score, rank): the best rows per topic by the sum of the scores of its tokens, some of which may be missing."""
+    """(query_id, row, score, rank): the best rows per topic by the sum of the scores of its tokens, some of which may be missing.
+
+    A topic's tokens are added in three steps, strongest first. A row is dropped once the tokens that are left cannot lift it to
+    a score that ``best`` rows of the topic reach, so frequent tokens are only looked up for rows that may still be among the best.
+    """
     tokens = query_tokens(queries)
     hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
-    scored = any_token_matches(tokens, bm25_hits(posts, hits, row), row).withColumn("score", F.round("score", 6))
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), *[F.col(c) for c in row]], best, rank="rank")
+    scores = cut_lineage(bm25_hits(posts, hits, row))
+    stats = scores.groupBy("qtoken").agg(F.count("*").alias("df"), F.max("score").alias("top"))
+    # A token that no row holds adds nothing.
+    weighed = cut_lineage(tokens.select("query_id", "qtoken").join(stats, "qtoken"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "qtoken").rowsBetween(Window.unboundedPreceding, 0)
+    seeds = weighed.withColumn("_sum", F.sum("df").over(rarest)).filter((F.col("_sum") <= SEED_HITS) | (F.col("_sum") - F.col("df") < 4 * best))
+    floors = _floors(any_token_matches(seeds, scores, row), weighed, scores, row, best)
+    steps = cut_lineage(_steps(weighed, floors))
+    led = any_token_matches(steps.filter("step = 0"), scores, row)
+    led = cut_lineage(_within_reach(led, steps, 0, floors=steps.select("query_id", "floor").distinct()))
+    # Rows that hold many strong tokens show a higher floor than the rarest tokens alone.
+    raised = cut_lineage(_floors(led, weighed, scores, row, best))
+    led = _within_reach(led, steps, 0, raised)
+    half = _summed(led.unionByName(_token_scores(led, steps.filter("step = 1"), scores, row)), row)
+    half = cut_lineage(_within_reach(half, steps, 1, raised))
+    whole = _summed(half.unionByName(_token_scores(half, steps.filter("step = 2"), scores, row)), row).withColumn("score", F.round("score", 6))
+    return top_per_key(whole, ["query_id"], [F.col("score").desc(), *[F.col(c) for c in row]], best, rank="rank")
+
+
+SEED_HITS = 2000  # hits of a query's rarest tokens that are tried first
+SLACK = 1e-5  # more than rounding to six places and the order of a sum can make
+
+
+def _summed(scores: DataFrame, row: Sequence[str]) -> DataFrame:
+    return scores.groupBy("query_id", *row).agg(F.sum("score").alias("score"))
+
+
+def _token_scores(pairs: DataFrame, tokens: DataFrame, scores: DataFrame, row: Sequence[str]) -> DataFrame:
+    """(query_id, row, score): what each of these tokens of a query gives to the rows paired with it."""
+    wanted = pairs.select("query_id", *row).join(tokens.select("query_id", "qtoken"), "query_id")
+    return wanted.join(scores, [*row, "qtoken"]).select("query_id", *row, "score")
+
+
+def _floors(found: DataFrame, weighed: DataFrame, scores: DataFrame, row: Sequence[str], best: int) -> DataFrame:
+    """(query_id, floor): a score that ``best`` rows reach, from the whole scores of those found best so far; none where they are fewer."""
+    order = [F.col("score").desc(), *[F.col(c) for c in row]]
+    whole = _summed(_token_scores(top_per_key(found, ["query_id"], order, 4 * best), weighed, scores, row), row)
+    last = top_per_key(whole, ["query_id"], order, best, rank="_at").filter(F.col("_at") == best)
+    return last.select("query_id", (F.col("score") - SLACK).alias("floor"))
+
+
+def _steps(weighed: DataFrame, floors: DataFrame) -> DataFrame:
+    """Tokens with the step they are added in: 0 unless they and all weaker ones stay below the floor, 2 if below half of it."""
+    weakest = Window.partitionBy("query_id").orderBy("top", "qtoken").rowsBetween(Window.unboundedPreceding, 0)
+    reach = weighed.join(floors, "query_id", "left").withColumn("_reach", F.sum("top").over(weakest))
+    step = F.when(F.col("_reach") < F.col("floor") / 2, 2).when(F.col("_reach") < F.col("floor"), 1).otherwise(0)
+    return reach.withColumn("step", step).drop("_reach")
+
+
+def _within_reach(found: DataFrame, steps: DataFrame, step: int, floors: DataFrame) -> DataFrame:
+    """Rows that the tokens of later steps could still lift to the floor of their query."""
+    left = steps.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("step") > step, F.col("top"))), F.lit(0.0)).alias("_left"))
+    bars = left.join(floors.select("query_id", "floor"), "query_id", "left")
+    return found.join(bars, "query_id").filter("floor IS NULL OR score + _left >= floor").drop("_left", "floor")
 
 
 def _match_signals(matches: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
