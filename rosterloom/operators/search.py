@@ -116,12 +116,13 @@ def expand_tokens(tokens: DataFrame, words: DataFrame, substring: bool = False)
         fitting = F.filter(lengths, lambda n: n <= F.char_length("token"))
         keyed = vocabulary.select("token", F.explode_outer(F.transform(fitting, lambda n: F.substring("token", F.lit(1), n))).alias("qtoken"))
         return keyed.join(wanted, "qtoken").select("qtoken", "token")
-    grams = _grams(vocabulary, "token", lengths)
-    # The rarest gram of a query token; a word that lacks it does not contain the token.
     asked = _grams(wanted, "qtoken", F.array(size))
+    grams = _grams(vocabulary, "token", lengths).join(asked.select("gram").distinct(), "gram", "left_semi")
+    # The rarest gram of a query token; a word that lacks it does not contain the token.
     held = grams.groupBy("gram").agg(F.count("*").alias("_n"))
     rarest = asked.join(held, "gram", "left").groupBy("qtoken").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_r"))
-    found = rarest.select("qtoken", F.col("_r.gram").alias("gram")).join(grams, "gram")
+    # Both sides are spread by gram: the few query tokens would else meet copies of all grams in a task or two.
+    found = rarest.select("qtoken", F.col("_r.gram").alias("gram")).join(grams.hint("merge"), "gram")
     return found.filter(F.contains("token", "qtoken")).select("qtoken", "token")
 
 
@@ -162,6 +163,29 @@ def all_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], qu
     )
 
 
+LEADING = 3  # tokens of a query that are looked up in the vocabulary, the longest ones
+
+
+def substring_matches(tokens: DataFrame, posts: DataFrame, row: Sequence[str], query: str = "query_id") -> DataFrame:
+    """(query, row): rows that hold every token of a query somewhere inside their words.
+
+    The rarest of a query's longest tokens finds the rows; only they are read for the others.
+    """
+    longest = [F.char_length("qtoken").desc(), F.col("qtoken")]
+    leading = top_per_key(tokens.select(query, "qtoken"), [query], longest, LEADING)
+    expansions = cut_lineage(expand_tokens(leading, posts, substring=True))
+    held = posts.groupBy("token").agg(F.count("*").alias("_n")).join(expansions, "token").groupBy("qtoken").agg(F.sum("_n").alias("_n"))
+    # A token that no word contains counts none, and its query finds nothing.
+    counted = leading.join(held, "qtoken", "left").fillna(0, ["_n"])
+    rarest = top_per_key(counted, [query], [F.col("_n"), F.col("qtoken")]).select(query, "qtoken", F.lit(1).alias("wanted"))
+    chosen = expansions.join(rarest.select("qtoken").distinct(), "qtoken", "left_semi")
+    found = cut_lineage(all_token_matches(rarest, token_hits(posts, chosen, row).select(*row, "qtoken"), row, query))
+    words = posts.join(found.select(*row).distinct(), list(row), "left_semi").groupBy(*row).agg(F.array_join(F.collect_list("token"), " ").alias("_words"))
+    asked = tokens.groupBy(query).agg(F.collect_list("qtoken").alias("_asked"))
+    read = found.join(words, list(row)).join(asked, query)
+    return read.filter(F.forall("_asked", lambda t: F.contains("_words", t))).select(query, *row)
+
+
 def any_token_matches(tokens: DataFrame, hits: DataFrame, row: Sequence[str], query: str = "query_id") -> DataFrame:
     """(query, row, score) for rows matching some token of a query."""
     return hits.join(tokens.select(query, "qtoken"), "qtoken").groupBy(query, *row).agg(F.sum("score").alias("score"))
@@ -369,8 +393,7 @@ def search_without_index(
     asked = _asked(queries)
     wanted = asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct()
     tokens = query_tokens(wanted)
-    hits = token_hits(posts, expand_tokens(tokens, posts, substring=True), list(keys)).select(*keys, "qtoken")
-    matches = all_token_matches(tokens, hits, list(keys))
+    matches = substring_matches(tokens, posts, list(keys))
     q = wanted.select("query_id", search_text(F.col("text")).alias("q"), compact_designation(F.col("text")).alias("qc"))
     title = F.lower("title")
     tests = {

@@ -90,8 +90,7 @@ def semi_exists_tokens(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     posts = se.build_index(docs, ["doc_id"], ["text"])
     tokens = se.query_tokens(_topic_queries(spark, sf))
-    hits = se.token_hits(posts, se.expand_tokens(tokens, posts, substring=True), ["doc_id"]).select("doc_id", "qtoken")
-    return se.all_token_matches(tokens, hits, ["doc_id"])
+    return se.substring_matches(tokens, posts, ["doc_id"])
 
 
 def browse_prefix(spark, sf):
