@@ -23,3 +23,13 @@ def test_rows_of_the_rarest_token_alone_are_read(spark, monkeypatch):
     # One token per query at most.
     assert hits[0].select("qtoken").distinct().count() <= len(texts)
     assert "an" not in {r.qtoken for r in hits[0].collect()} or ["an"] in asked
+
+
+def test_few_query_tokens_do_not_meet_all_grams_in_one_task(spark):
+    words = spark.range(500).selectExpr("concat('w', lpad(cast(id as string), 3, '0'), 'ab') as token")
+    asked = spark.createDataFrame([("00",), ("w123",), ("b",), ("zz",)], "qtoken string")
+    found = se.expand_tokens(asked, words, substring=True)
+    join = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [gram" in line and "Inner" in line]
+    assert join and all("SortMergeJoin" in line for line in join)
+    got = {(r.qtoken, r.token) for r in found.collect()}
+    assert got == {(q, f"w{i:03}ab") for q in ("00", "w123", "b", "zz") for i in range(500) if q in f"w{i:03}ab"}
