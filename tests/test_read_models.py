@@ -1,6 +1,7 @@
 """Plans of the read models."""
 
 from rosterloom.operators import rollups
+from rosterloom.operators import schedules as sc
 from rosterloom.plans import read_models as rm
 
 
@@ -32,3 +33,15 @@ def test_clocks_are_worked_out_once_for_all_readers(spark):
 def test_ordered_text_passes_over_blank_texts(spark):
     rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 0, ""), ("b", 0, ""), ("c", 0, None)], "k string, i int, t string")
     assert rollups.ordered_text(rows, ["k"], ["i"], "t", "; ", "out").collect() == [("a", "x; y")]
+
+
+def test_line_texts_are_made_of_picked_meetings_alone(spark):
+    met = _met(spark).drop("source_package_id").withColumnRenamed("package_id", "source_package_id")
+    packages = spark.createDataFrame([("c", "p", "A B 1 LEC 001 + DIS 002"), ("c", "q", "A B 1 LEC 001")], "course_id string, package_id string, section_bundle_label string")
+    sections = spark.createDataFrame([("c", "LEC", "001", 1), ("c", "DIS", "002", 2)], "course_id string, section_type string, section_number string, section_class_number int")
+    got = sc.meeting_lines(packages, sections, met)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Filter" in line and "PM" in line for line in plan)
+    assert {(r.package_id, tuple(r.lines or ())) for r in got.collect()} == {
+        ("p", ("LEC MWF 8:00 AM-9:00 AM @ Hall", "DIS TR 12:00 PM-1:00 PM @ R1")), ("q", ("LEC ? 8:00 AM-9:00 AM @ Hall",)),
+    }
