@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rosterloom.functions.text import let
+
 # Display order of the known grade codes.
 GRADE_CODES = [
     "A+", "A", "AB", "B", "BC", "C", "D", "F", "S", "U",
@@ -42,15 +44,20 @@ def quality_points(counts: Column) -> Column:
 
 def gpa_of_graded(counts: Column) -> Column:
     """Mean over graded students only; 0 when there are none."""
-    graded = F.lit(0)
-    for code in GRADE_POINTS:
-        graded = graded + count_of(counts, code)
-    return F.when(graded > 0, quality_points(counts) / graded).otherwise(0.0)
+
+    def mean(known: Column) -> Column:
+        graded = F.lit(0)
+        for code in GRADE_POINTS:
+            graded = graded + count_of(known, code)
+        return F.when(graded > 0, quality_points(known) / graded).otherwise(0.0)
+
+    return let(counts, mean)
 
 
 def gpa_of_total(counts: Column, total: Column) -> Column:
     """Mean whose denominator counts everyone, graded or not; 0 when the total is not positive."""
-    return F.when(total > 0, quality_points(counts) / total).otherwise(0.0)
+    # The counts are worked out once, not for each code that is looked up.
+    return let(counts, lambda known: F.when(total > 0, quality_points(known) / total).otherwise(0.0))
 
 
 def grade_rank(code: Column) -> Column:
