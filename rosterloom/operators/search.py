@@ -92,12 +92,24 @@ def build_index(docs: DataFrame, row: Sequence[str], texts: Sequence[str]) -> Da
     return cut_lineage(postings(docs, row, texts))
 
 
+ROWS_PER_TASK = 1 << 17
+
+
+def dealt_out(table: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The rows of a corpus, or hits in it, spread by key over as many tasks as their number asks for.
+
+    They are short and repeat each other, so that few bytes hold many of them: by size alone a few tasks would meet all.
+    """
+    tasks = -(-(table.count() if rows is None else rows) // ROWS_PER_TASK)
+    return table.repartition(tasks, *keys) if tasks > 1 else table
+
+
 CORPUS_TEXTS = ("alias_course_designation", "alias_compact", "title", "description")
 
 
 def corpus_index(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The index of a course corpus, one row per alias; to be passed to ``search`` and ``topic_search``."""
-    return build_index(corpus, [*keys, "alias_course_designation"], CORPUS_TEXTS)
+    return build_index(dealt_out(corpus, keys), [*keys, "alias_course_designation"], CORPUS_TEXTS)
 
 
 def query_tokens(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -144,10 +156,11 @@ def _grams(words: DataFrame, word: str, lengths: Column) -> DataFrame:
 def token_hits(posts: DataFrame, expansions: DataFrame, row: Sequence[str]) -> DataFrame:
     """(row, qtoken, tf, len): rows holding any word a query token stands for.
 
-    A frequent word is a skewed key of the postings only: AQE splits it when the other side is
-    too large to broadcast.
+    The expansions are written, so that Spark knows them to be the small side: it would else send the postings, which pack
+    well, to the one task that holds the few query tokens. A frequent word is a skewed key of the postings only: AQE splits
+    it when the other side is too large to broadcast. Hits are spread by row, which serves the sums per query and row alike.
     """
-    found = posts.join(expansions, "token")
+    found = posts.join(cut_lineage(expansions), "token").select(*row, "qtoken", "tf", "len").repartition(*row)
     return found.groupBy(*row, "qtoken").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
 
 
@@ -372,9 +385,10 @@ def search(
     posts = corpus_index(corpus, keys) if index is None else index
     asked = _asked(queries)
     wanted = asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct()
-    tokens = query_tokens(wanted)
+    tokens = cut_lineage(query_tokens(wanted))
     hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
-    matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
+    # Spread before the queries meet them, which makes many rows of one.
+    matches = all_token_matches(tokens, dealt_out(bm25_hits(posts, hits, row), row, hits.count()), row)
     texts = corpus.select(*row, "alias_normalized", "alias_compact", "title_normalized")
     signals = _match_signals(matches.join(texts, row), wanted, list(keys))
     lead = [*[F.col(s).desc() for s in _SIGNALS], F.round("best_score", 6).desc()]
@@ -389,10 +403,10 @@ def search_without_index(
     lowered = corpus.withColumn("alias_lower", F.lower("alias_course_designation")).withColumn(
         "alias_tight", F.replace(F.lower("alias_course_designation"), F.lit(" "), F.lit(""))
     )
-    posts = build_index(lowered, list(keys), ["alias_lower", "alias_tight", "title", "description"])
+    posts = build_index(dealt_out(lowered, keys), list(keys), ["alias_lower", "alias_tight", "title", "description"])
     asked = _asked(queries)
     wanted = asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct()
-    tokens = query_tokens(wanted)
+    tokens = cut_lineage(query_tokens(wanted))
     matches = substring_matches(tokens, posts, list(keys))
     q = wanted.select("query_id", search_text(F.col("text")).alias("q"), compact_designation(F.col("text")).alias("qc"))
     title = F.lower("title")
@@ -448,9 +462,9 @@ def topic_search(queries: DataFrame, corpus: DataFrame, keys: Sequence[str], ind
     """Best score per (query, course), one row per course however many aliases match."""
     row = [*keys, "alias_course_designation"]
     posts = corpus_index(corpus, keys) if index is None else index
-    tokens = query_tokens(queries)
+    tokens = cut_lineage(query_tokens(queries))
     hits = cut_lineage(token_hits(posts, expand_tokens(tokens, posts), row))
-    matches = all_token_matches(tokens, bm25_hits(posts, hits, row), row)
+    matches = all_token_matches(tokens, dealt_out(bm25_hits(posts, hits, row), keys, hits.count()), row)
     return matches.groupBy("query_id", *keys).agg(F.max("score").alias("score"))
 
 
