@@ -62,10 +62,10 @@ def search_corpus(spark, sf):
 def search_prefix_and(spark, sf):
     """Rows matching every token of a query by prefix, with their BM25 score."""
     row = [*KEYS, "alias_course_designation"]
-    posts = se.build_index(_corpus(spark, sf), row, ["alias_course_designation", "alias_compact", "title", "description"])
-    tokens = se.query_tokens(_queries(spark, sf))
-    hits = se.token_hits(posts, se.expand_tokens(tokens, posts), row)
-    return se.all_token_matches(tokens, se.bm25_hits(posts, hits, row), row).select(
+    posts = se.build_index(se.dealt_out(_corpus(spark, sf), KEYS), row, ["alias_course_designation", "alias_compact", "title", "description"])
+    tokens = cut_lineage(se.query_tokens(_queries(spark, sf)))
+    hits = cut_lineage(se.token_hits(posts, se.expand_tokens(tokens, posts), row))
+    return se.all_token_matches(tokens, se.dealt_out(se.bm25_hits(posts, hits, row), row, hits.count()), row).select(
         "query_id", "course_id", "alias_course_designation", F.round("score", 6).alias("score")
     )
 
