@@ -469,23 +469,22 @@ def _can_link(x: str, y: str, percent: int) -> F.Column:
 
 
 def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in the small groups, each at the first key that makes it a candidate.
+    """Candidate pairs in the small groups, each once.
 
-    ``rows`` are all rows of the nodes; a pair whose first key belongs to a large group is left to the cells.
+    ``rows`` are all rows of the nodes; a pair that shares a large group as well is left to the cells.
     """
-    lists = rows.groupBy("node").agg(
-        F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("probe"), F.col("key"))).alias("probed")
-    )
-    small = cut_lineage(rows.filter(~F.col("large")).join(lists, "node"))
-    x, y = small.alias("x"), small.alias("y")
-    first = F.least(
-        F.array_min(F.array_intersect("x.probed", "y.all")), F.array_min(F.array_intersect("x.all", "y.probed"))
-    )
+    x, y = rows.filter("not large").alias("x"), rows.filter("not large").alias("y")
     met = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _can_link("x", "y", percent) & (F.col("x.key") == first),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _can_link("x", "y", percent) & (F.col("x.probe") | F.col("y.probe")),
+    )
+    # Rows meet without the lists of their nodes' keys, which would make each as large as a set.
+    pairs = met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    crowds = cut_lineage(rows.filter("large").groupBy("node").agg(F.collect_set("key").alias("crowds")))
+    placed = pairs.join(crowds.select(F.col("node").alias("u"), F.col("crowds").alias("_x")), "u", "left").join(
+        crowds.select(F.col("node").alias("v"), F.col("crowds").alias("_y")), "v", "left"
     )
-    return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    return placed.filter(~F.coalesce(F.arrays_overlap("_x", "_y"), F.lit(False))).select("u", "v")
 
 
 def links_between(left: list[int], right: list[int], sets: list[np.ndarray], comps: list[int], percent: int) -> list[tuple[int, int]]:
