@@ -234,8 +234,9 @@ class Lattices:
 
 def word_counts(blocks: DataFrame) -> DataFrame:
     """(term, n): uses of each distinct word in the training documents, also of words that only others hold."""
-    told = blocks.select(F.explode(F.arrays_zip("terms", "gathered")).alias("t"))
-    return told.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.gathered").alias("n"))
+    # The list of counts is looked up by place: zipped lists would make an object of every word of a block at once.
+    told = blocks.select(F.posexplode("terms").alias("pos", "term"), "gathered").select("term", F.get("gathered", F.col("pos")).alias("n"))
+    return told.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _expected(words: DataFrame, log_p: np.ndarray, name: str) -> np.ndarray:
@@ -302,7 +303,8 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def score(docs: DataFrame, rounds: int = ROUNDS, name: str = PIECES_32K) -> DataFrame:
     """Rows of ``_SCORES``: whole texts of docs (doc_id, text), scored by what the training documents among them hold."""
-    blocks = cut_lineage(whole_blocks(docs, WORD_BYTES, trains))
+    # A task has the more blocks the larger its part of the input is; they are written and read one by one.
+    blocks = cut_lineage(whole_blocks(docs, WORD_BYTES, trains), rows_at_once=1)
     words = cut_lineage(word_counts(blocks))
     in_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     training = F.udf(lambda ids: sum(map(trains, ids)), "long")
@@ -339,4 +341,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS, name: str = PIECES_32K) -> Data
     # Only words and their places travel to their values and back; the lists stay with their block.
     places = blocks.select("block", F.posexplode("terms").alias("pos", "term"))
     values = places.join(valued, "term").select(F.col("block").alias("of_block"), "pos", "n", "log10_p")
-    return blocks.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(sums, _SCORES)
+    return blocks.drop("gathered").groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(sums, _SCORES)

@@ -64,14 +64,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
     Survives executor loss, keeps iterative plans short, and unlike an RDD checkpoint it is
     columnar: later steps read only their columns, and the file sizes tell Spark what it may
-    broadcast.
+    broadcast.  ``rows_at_once`` is for rows of many megabytes: neither the writer nor a reader of the table then holds
+    more of them, where the writer would else look at its memory after 100 rows first and the reader take 4,096 at a time.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few = {} if rows_at_once is None else {"parquet.block.row.count.limit": str(rows_at_once), "parquet.page.size.row.check.min": "1"}
+    df.write.options(**few).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
