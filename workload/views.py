@@ -48,8 +48,7 @@ def availability_view(spark, sf):
 
 
 def schedule_planning_view(spark, sf):
-    c = Catalog(spark, sf)
-    return rm.schedule_planning(_sections(c), c.meetings, c.buildings).drop("latitude", "longitude")
+    return course_by_course(spark, sf, lambda c: rm.schedule_planning(_sections(c), c.meetings, c.buildings).drop("latitude", "longitude"))
 
 
 def canonical_sections_view(spark, sf):
