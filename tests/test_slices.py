@@ -9,7 +9,7 @@ from rosterloom import session
 from workload import check, standin
 
 SF = "/root/testdata/sf0.001"
-SLICED = ["meeting_lines", "schedule_planning_view", "schedule_calendar", "course_detail_doc", "canonical_meetings_model"]
+SLICED = ["schedulable_packages_model", "meeting_lines", "schedule_planning_view", "schedule_calendar", "course_detail_doc", "canonical_meetings_model"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
