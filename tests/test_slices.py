@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rosterloom import session
+from rosterloom.operators import schedules
 from workload import check, standin
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,18 @@ def test_a_slice_is_freed_before_the_next_and_no_key_is_lost(spark, monkeypatch)
     got = session.in_slices(spark, 4, step)
     assert sorted(map(str, got.collect())) == sorted(map(str, rows.groupBy("k").count().collect()))
     assert sum(seen) == 51 and max(seen) < 30
+
+
+@pytest.mark.parametrize("name", ["schedule_enumerate"])
+def test_requests_meet_their_candidates_in_slices(spark, name, monkeypatch):
+    written = []
+
+    def in_slices(spark, n, step, parts=None):
+        written.append(n)
+        return session.in_slices(spark, n, step, parts)
+
+    monkeypatch.setattr(schedules, "in_slices", in_slices)
+    monkeypatch.setattr(schedules, "REQUESTS_PER_SLICE", 600)
+    ok, detail = check.compare(spark, check.connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert ok, detail
+    assert max(written) > 1, written
