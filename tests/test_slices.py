@@ -49,7 +49,7 @@ def test_a_slice_is_freed_before_the_next_and_no_key_is_lost(spark, monkeypatch)
     assert sum(seen) == 51 and max(seen) < 30
 
 
-@pytest.mark.parametrize("name", ["schedule_enumerate", "schedule_metrics"])
+@pytest.mark.parametrize("name", ["schedule_enumerate", "schedule_metrics", "schedule_topk"])
 def test_requests_meet_their_candidates_in_slices(spark, name, monkeypatch):
     written = []
 
